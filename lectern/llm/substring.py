@@ -113,7 +113,7 @@ def ranges(df: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
         at = np.flatnonzero(total > 8 * total.mean() + 8 * window)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(total[at], total.sum()), pa.int64())], ["fine", "n"])
 
-    loads = durable(rows.mapInArrow(load, "fine bigint, n bigint").groupBy("fine").agg(F.sum("n").alias("n")), spark)
+    loads = durable(rows.mapInArrow(load, "fine bigint, n bigint").groupBy("fine").agg(F.sum("n").alias("n")), spark, few=True)
     whole = (loads.where("fine = -1").first() or {"n": 0})["n"]
     # At most `buckets` of them can each have more than a bucket's mean share.
     hot = np.array(sorted(r["fine"] for r in loads.where((F.col("fine") >= 0) & (F.col("n") > whole / buckets)).collect()), np.int64)
@@ -184,7 +184,7 @@ def ranges(df: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
             if bucket == spread and len(found[0]):
                 texts, which = np.unique(found[0], return_inverse=True)
                 ready = (which.astype(np.int32), found[1].astype(np.int32), found[2].astype(np.int32), names(texts))
-            blobs.append((bucket, pack(packed, single, ready)))
+            blobs.append((bucket, pack(packed, single, ready, level=6)))  # mostly text
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in blobs], pa.int32()), pa.array([x[1] for x in blobs], pa.binary())], ["bucket", "blob"])
 
     def count(table):
