@@ -35,8 +35,13 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def durable(df: DataFrame, spark: SparkSession) -> DataFrame:
-    """Cut the lineage through a table in the shared folder, read back from there."""
+def durable(df: DataFrame, spark: SparkSession, few: bool = False) -> DataFrame:
+    """Cut the lineage through a table in the shared folder, read back from there.
+
+    `few`: narrow rows that need no file for each shuffle partition.
+    """
+    if few:
+        df = df.repartition(max(1, partitions(spark) // 16))
     path = f"{shared_dir(spark).rstrip('/')}/lectern-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -58,7 +63,7 @@ def components(spark: SparkSession, edges: DataFrame, most: int = 60) -> DataFra
     proportion to the edges, hubs included, and ends up on disk.
     """
     now = durable(
-        edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), spark
+        edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), spark, few=True
     )
     mark = None
     for _ in range(most):
@@ -73,7 +78,7 @@ def components(spark: SparkSession, edges: DataFrame, most: int = 60) -> DataFra
             large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         )
-        now = durable(small, spark)
+        now = durable(small, spark, few=True)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
             break

@@ -239,7 +239,7 @@ def links(able: DataFrame, copies: DataFrame, num: int, den: int) -> DataFrame:
     rows = able.select("class", "n", "shared").join(member, F.col("class") == F.col("node")).drop("node").join(copies, "class")
     # Sizes that can link are at most one band apart.
     rows = rows.withColumn("band", F.floor(F.log("n") / F.log(F.lit(den / num)) + F.lit(1e-9)).cast("int") if num < den else F.col("n"))
-    per = durable(rows.groupBy("root", "band").agg(F.count("*").alias("c")), spark)
+    per = durable(rows.groupBy("root", "band").agg(F.count("*").alias("c")), spark, few=True)
     whole = per.groupBy("root").agg(F.sum("c").alias("all"))
     per = per.join(whole, "root").withColumn("salts", F.ceil(F.col("c") / BLOCK).cast("int"))
     other = per.select("root", (F.col("band") - 1).alias("band"), F.col("salts").alias("above"))
@@ -316,7 +316,7 @@ def join(df: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     docs = durable(classes(df, k), spark)
     copies = docs.where("n_shingles > 0").groupBy("class").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"))
     able = durable(survivors(df, k, num, den), spark)
-    found = durable(links(able, copies.select("class", "copies"), num, den), spark)
+    found = durable(links(able, copies.select("class", "copies"), num, den), spark, few=True)
     near = found.where("v is null").groupBy(F.col("u").alias("class")).agg(F.sum("n").alias("near"))
     root = components(spark, found.where("v is not null").select("u", "v"))
     root = copies.join(root, F.col("class") == F.col("node"), "left").select("class", "copies", "least", F.coalesce("root", "class").alias("root"))

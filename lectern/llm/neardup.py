@@ -180,7 +180,7 @@ def link(df: DataFrame, cosine: float = 0.98, key: str = "vec_id", vector: str =
                 n.append(0)
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(to, pa.int64()), "n": pa.array(n, pa.int64())})
 
-    found = durable(split.groupBy("part").applyInArrow(verify, "u bigint, v bigint, n bigint"), spark)
+    found = durable(split.groupBy("part").applyInArrow(verify, "u bigint, v bigint, n bigint"), spark, few=True)
     near = found.where("v is null").groupBy("u").agg(F.sum("n").alias("near"))
     root = components(spark, found.where("v is not null").select("u", "v")).withColumnRenamed("node", "r")
     info = nodes.select("node", "copies", "least").join(root, F.col("node") == F.col("r"), "left").withColumn("root", F.coalesce("root", "node"))
