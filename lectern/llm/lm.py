@@ -36,7 +36,7 @@ from ._pack import from_planes, gather, pack, planes, unpack
 from ._text import LOWER, buffers, chunks, mix, words
 
 MU = 64.0
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 1 << 21
 ADD = 0.1
 _START, _END = np.uint64(0x51A7_51A7_51A7_51A7), np.uint64(0xE2D0_E2D0_E2D0_E2D0)
 
