@@ -8,11 +8,17 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+#: For the workers' allocators: give large freed arrays back to the system at once.
+ALLOCATORS = {"MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "1048576", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def ship(spark: SparkSession | None = None) -> None:
-    """Tell Python workers where this package is, in case they were started elsewhere."""
+    """Tell Python workers where this package is, in case they were started elsewhere, and keep them small."""
     spark = spark or SparkSession.getActiveSession()
     if spark is None:
         return
+    for name, value in ALLOCATORS.items():
+        spark.sparkContext.environment.setdefault(name, value)
     root = str(Path(__file__).resolve().parents[1])
     given = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in given.split(os.pathsep):
