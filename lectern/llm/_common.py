@@ -5,23 +5,20 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Rows per Arrow batch; with whole texts a batch stays at some megabytes.
 BATCH_ROWS = 1024
 
 
 def arrow(spark: SparkSession) -> None:
-    """Batch limits for operators that hand whole texts to Python, and this
-    package's place for workers that were started elsewhere."""
+    """Batch limits for operators that hand whole texts to Python, and their workers' environment."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    root = str(Path(__file__).resolve().parents[2])
-    given = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if root not in given.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, given) if x)
+    ship(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:

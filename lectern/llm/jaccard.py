@@ -92,7 +92,7 @@ def survivors(df: DataFrame, k: int, num: int, den: int) -> DataFrame:
     spark = df.sparkSession
     arrow(spark)
     parts = partitions(spark)
-    bits = max(4, int(np.ceil(np.log2(parts))))
+    bits = max(4, int(np.ceil(np.log2(2 * parts))))
     fragments = 1 << bits
 
     def cut(batches):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ._common import arrow
 
 SPACE = "▁"
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 CACHE_LENGTH = 48
 
 
