@@ -72,5 +72,5 @@ def spearman(long: DataFrame, signal: str = "signal", value: str = "value", outc
     rows = long.where(F.col(value).isNotNull() & F.col(outcome).isNotNull())
     a, b = ranks(rows, value, "rx"), ranks(rows, outcome, "ry")
     rows = rows.join(a, (F.col(signal) == F.col("_s")) & (F.col(value) == F.col("_v"))).drop("_s", "_v").join(b, (F.col(signal) == F.col("_s")) & (F.col(outcome) == F.col("_v")))
-    sd = (F.stddev_pop("rx") > 0) & (F.stddev_pop("ry") > 0)
-    return rows.groupBy(signal).agg(F.count("*").alias("n"), F.when((F.count("*") >= 3) & sd, F.round(F.corr("rx", "ry"), 4)).alias("rho"))
+    rho = F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry"))  # null for a constant
+    return rows.groupBy(signal).agg(F.count("*").alias("n"), F.when(F.count("*") >= 3, F.round(rho, 4)).alias("rho"))
