@@ -36,7 +36,7 @@ def every_page(pages: Column) -> Column:
 def match(pieces: DataFrame, documents: DataFrame, file: str = "file") -> DataFrame:
     """Each piece with the document that it overlaps most (the first one on a tie, null without overlap)."""
     p, d = pieces.alias("p"), documents.alias("d")
-    n = F.least("p.last_page", "d.last_page") - F.greatest("p.first_page", "d.first_page") + 1
+    n = F.when(F.col("d.first_page").isNotNull(), F.least("p.last_page", "d.last_page") - F.greatest("p.first_page", "d.first_page") + 1)
     hit = p.join(d, (F.col(f"p.{file}") == F.col(f"d.{file}")) & (F.col("d.first_page") <= F.col("p.last_page")) & (F.col("d.last_page") >= F.col("p.first_page")), "left")
     best = F.min(F.struct((-n).alias("minus"), F.col("d.first_page").alias("f"), F.col("d.last_page").alias("l")))
     out = hit.groupBy(f"p.{file}", "p.first_page", "p.last_page").agg(best.alias("b"))
@@ -53,3 +53,23 @@ def score(cuts: DataFrame, predicted: str = "predicted", truth: str = "truth") -
         F.count_if(F.array_sort(predicted) == F.array_sort(truth)).alias("exact_files"),
         rate(hit, hit + extra).alias("precision"), rate(hit, hit + missed).alias("recall"), rate(2 * hit, 2 * hit + extra + missed).alias("f1"),
     )
+
+
+def same_type_recall(cuts: DataFrame, predicted: str = "predicted", truth: str = "truth", types: str = "types") -> DataFrame:
+    """Recall of cuts between two documents of one type, which a classifier of pages cannot see.
+
+    The i-th cut of `truth`, in order, lies between the documents i and i + 1 of `types`.
+    """
+    order = F.array_sort(truth)
+    alike = F.filter(F.transform(order, lambda c, i: F.struct(c.alias("cut"), (F.get(F.col(types), i) == F.get(F.col(types), i + 1)).alias("same"))), lambda x: x["same"])
+    cut = F.transform(alike, lambda x: x["cut"])
+    n, hit = F.sum(F.size(cut)), F.sum(F.size(F.array_intersect(cut, F.col(predicted))))
+    return cuts.agg(n.alias("same_type_boundaries"), hit.alias("hit"), rate(hit, n).alias("same_type_recall"))
+
+
+def summary(pieces: DataFrame, documents: DataFrame, file: str = "file") -> DataFrame:
+    """Of matched pieces: exact ones, documents cut into several, documents that no piece is matched with."""
+    own = pieces.groupBy(file, F.col("truth_first").alias("first_page")).agg(F.count("*").alias("k"))
+    seen = documents.select(file, "first_page").join(own, [file, "first_page"], "left")
+    a = pieces.agg(F.count("*").alias("pieces"), F.count_if("exact").alias("exact"), F.count_if(F.col("overlap") == 0).alias("unmatched"))
+    return a.crossJoin(seen.agg(F.count("*").alias("documents"), F.count_if(F.col("k") > 1).alias("cut"), F.count_if(F.col("k").isNull()).alias("unseen")))  # one row each

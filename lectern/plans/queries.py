@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import answers
 from ..functions import fields as f
-from ..operators import classify, geometry, measure, repair, route, rules, sampling, scoring, split, validate
+from ..operators import classify, geometry, measure, provenance, readings, repair, route, rules, sampling, scoring, signals, split, validate
 from ..registry import TYPES, Field
+from ..session import workspace
+from ..streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -417,16 +420,36 @@ def field_states(spark, sf_dir):
     return _pairs(spark, sf_dir).groupBy("field", "state").agg(F.count("*").alias("n"))
 
 
-_AFTER = "CASE WHEN file % 5 = 0 AND state = 'right' THEN 'wrong' WHEN file % 4 = 0 AND state IN ('wrong', 'missed') THEN 'right' WHEN state = 'fabricated' AND file % 3 = 0 THEN 'missed' ELSE state END"
+_EFFECT = """CASE WHEN before = 'right' AND after IN ('wrong', 'missed', 'fabricated') OR after = 'fabricated' AND before IN ('missed', 'correctly_blank', 'wrong') THEN 'damaging'
+  WHEN after = 'right' AND before IN ('wrong', 'missed', 'fabricated') THEN 'repairing' WHEN after = 'missed' AND before IN ('wrong', 'fabricated') THEN 'safer' ELSE 'neutral' END"""
+_AFTER = "CASE WHEN file % 5 = 0 AND state = 'right' THEN 'wrong' WHEN file % 4 = 0 AND state IN ('wrong', 'missed') THEN 'right' WHEN state = 'fabricated' AND file % 3 = 0 THEN 'missed' WHEN state = 'missed' AND file % 3 = 1 THEN 'fabricated' WHEN state = 'wrong' AND file % 7 = 0 THEN 'missed' ELSE state END"
+_MOVES = f"""{_PAIRS}, m AS (SELECT field, state AS before, {_AFTER} AS after, CASE field WHEN 'price' THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM pairs), t AS (SELECT *, {_EFFECT} AS effect FROM m)"""
 
 
-@query(f"""WITH {_PAIRS}, t AS (SELECT state AS before, {_AFTER} AS after, CASE field WHEN 'price' THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM pairs)
-SELECT before, after, count(*) AS n, round(sum(w), 4) AS weighted, CASE WHEN before IN ('right', 'correctly_blank') AND after NOT IN ('right', 'correctly_blank') THEN 'damaging'
-  WHEN before NOT IN ('right', 'correctly_blank') AND after IN ('right', 'correctly_blank') THEN 'repairing' WHEN before = 'fabricated' AND after = 'missed' THEN 'safer' ELSE 'neutral' END AS effect
+@query(f"""WITH {_MOVES}
+SELECT before, after, count(*) AS n, round(sum(w), 4) AS weighted, {_EFFECT} AS effect
 FROM t GROUP BY before, after""")
 def transitions(spark, sf_dir):
-    rows = _pairs(spark, sf_dir).withColumn("after", F.expr(_AFTER)).withColumn("w", F.when(F.col("field") == "price", 3.0).otherwise(1.0))
-    return repair.transitions(rows, "state", "after", "w")
+    return repair.transitions(_moved(spark, sf_dir), "state", "after", "w")
+
+
+def _moved(spark, sf_dir):
+    return _pairs(spark, sf_dir).withColumn("after", F.expr(_AFTER)).withColumn("w", F.when(F.col("field") == "price", 3.0).otherwise(1.0))
+
+
+@query(f"""WITH {_MOVES}, c AS (SELECT *, (effect = 'repairing')::INT - (effect = 'damaging')::INT AS net FROM t)
+SELECT count(*) FILTER (effect = 'repairing') AS fields_repaired, count(*) FILTER (effect = 'damaging') AS fields_damaged, count(*) FILTER (effect = 'safer') AS fields_made_visible, sum(net)::BIGINT AS net_fields,
+  round(sum(w) FILTER (effect = 'repairing'), 2) AS fields_repaired_weighted, round(sum(w) FILTER (effect = 'damaging'), 2) AS fields_damaged_weighted, round(sum(net * w), 2) AS net_fields_weighted,
+  count(*) FILTER (after = 'fabricated' AND before <> 'fabricated') AS invented FROM c""")
+def transitions_weighted(spark, sf_dir):
+    return repair.transition_totals(repair.transitions(_moved(spark, sf_dir), "state", "after", "w"))
+
+
+@query(f"""WITH {_MOVES} SELECT field, count(*) FILTER (effect = 'damaging') AS damaged, count(*) FILTER (effect = 'repairing') AS repaired FROM t GROUP BY field HAVING count(*) FILTER (effect <> 'neutral') > 0
+ORDER BY damaged - repaired DESC, field LIMIT 10""")
+def worst_fields(spark, sf_dir):
+    """The ten fields that repair cost most."""
+    return repair.worst_fields(_moved(spark, sf_dir), "field", "state", "after")
 
 
 @query("SELECT c_custkey, length(c_mktsegment) >= 4 AND c_custkey % 3 = 0 AS copied FROM customer")
@@ -515,6 +538,55 @@ def spearman_signals(spark, sf_dir):
     return measure.spearman(j.select(F.explode(pair).alias("p"), "outcome").select("p.signal", "p.value", "outcome"))
 
 
+_LIFT = f"""WITH {_JUDGED}, d AS (SELECT 'pooled' AS dimension, '' AS slice, * FROM j UNION ALL SELECT 'lang', coalesce(lang, 'unlabelled'), * FROM j),
+v AS (SELECT dimension, slice, 'n_chars' AS signal, n_chars::DOUBLE AS v, outcome FROM d UNION ALL SELECT dimension, slice, 'conf', conf, outcome FROM d UNION ALL SELECT dimension, slice, 'toxic', toxic::DOUBLE, outcome FROM d),
+r AS (SELECT *, rank() OVER (PARTITION BY dimension, slice, signal ORDER BY v) + (count(*) OVER (PARTITION BY dimension, slice, signal, v) - 1) / 2.0::DOUBLE AS rx,
+  rank() OVER (PARTITION BY dimension, slice, signal ORDER BY outcome) + (count(*) OVER (PARTITION BY dimension, slice, signal, outcome) - 1) / 2.0::DOUBLE AS ry, count(*) OVER (PARTITION BY dimension, slice, signal) AS n FROM v),
+p AS (SELECT *, floor(((CASE signal WHEN 'toxic' THEN n + 1 - rx ELSE rx END) - 0.5::DOUBLE) / n * 20::DOUBLE + 1e-9::DOUBLE) AS reach, CASE signal WHEN 'toxic' THEN -1 ELSE 1 END AS way FROM r),
+c AS (SELECT dimension, slice, signal, step, round(count(*) FILTER (reach >= step) / count(*)::DOUBLE, 4) AS coverage, round(avg(outcome) FILTER (reach >= step), 4) AS accuracy, round(avg(outcome), 4) AS baseline FROM p CROSS JOIN range(21) s(step) GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY dimension, slice, signal ORDER BY round(abs(coverage - 0.8::DOUBLE), 6), step) AS k FROM c),
+w AS (SELECT dimension, slice, signal, count(*) AS available, any_value(way)::INT AS expected_direction, CASE WHEN isfinite(corr(rx, ry)) THEN round(corr(rx, ry), 4) END AS rho FROM p GROUP BY ALL),
+lift AS (SELECT dimension, slice, signal, available, 0::BIGINT AS missing, expected_direction, CASE WHEN available >= 3 THEN rho END AS rho, CASE WHEN available >= 3 THEN rho * expected_direction > 0 END AS direction_agrees,
+  CASE WHEN available >= 3 THEN coverage END AS coverage, CASE WHEN available >= 3 THEN accuracy END AS accuracy, CASE WHEN available >= 3 THEN baseline END AS baseline, CASE WHEN available >= 3 THEN round(accuracy - baseline, 4) END AS lift
+  FROM w JOIN b USING (dimension, slice, signal) WHERE k = 1)"""
+_EXPECTED = {"n_chars": 1, "conf": 1, "toxic": -1}
+
+
+@query(f"{_LIFT} SELECT * EXCLUDE (dimension, slice) FROM lift WHERE dimension = 'pooled'")
+def signal_lift(spark, sf_dir):
+    """Each signal as a routing score of its own at 80% coverage."""
+    return measure.signal_report(judged(spark, sf_dir), _EXPECTED, "outcome").drop("dimension", "slice")
+
+
+@query(f"{_LIFT} SELECT * FROM lift WHERE dimension = 'pooled' OR available >= 8")
+def signal_report(spark, sf_dir):
+    """The same pooled and by language, in one pass."""
+    return measure.signal_report(judged(spark, sf_dir), _EXPECTED, "outcome", ("lang",))
+
+
+@query("""SELECT doc_id, round(0.5::DOUBLE + doc_id % 50 / 100.0::DOUBLE, 4) AS ocr_confidence, round(n_chars / 5 / (1 + doc_id % 3)::DOUBLE, 2) AS words_per_page,
+  CASE WHEN doc_id % 2 = 0 THEN round((10 + doc_id % 7) / 20.0::DOUBLE, 4) END AS engine_agreement, CASE WHEN doc_id % 2 = 0 THEN 0.25::DOUBLE END AS engine_confidence_spread,
+  CASE WHEN doc_id % 4 = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS is_ocr, CASE WHEN doc_id % 5 <> 0 THEN (doc_id % 5)::DOUBLE END AS rules_applied FROM (SELECT doc_id, n_chars - n_chars % 5 AS n_chars FROM documents)""")
+def reading_signals(spark, sf_dir):
+    """How well each page was read, from the reader's own notes."""
+    k = F.col("doc_id")
+    tried = F.when(k % 2 == 0, F.array(F.concat(F.lit("one="), (10 + k % 7).cast("string"), F.lit("ch/conf0.65/1.1s")), F.lit("two=20ch/conf0.90/0.2s"))).otherwise(F.array(F.lit("one=5ch/conf0.50/1.0s")))
+    block = F.struct(
+        F.when(k % 4 == 0, "native").otherwise("ocr").alias("layer"), F.round(0.5 + k % 50 / 100, 4).alias("confidence"), F.floor(F.col("n_chars") / 5).alias("words"), (1 + k % 3).alias("pages"), tried.alias("tried")
+    ).cast(signals.READING)
+    applied = F.when(k % 5 != 0, F.create_map(F.lit("a"), F.lit(1), F.lit("b"), (k % 5 - 1).cast("int")))
+    df = _read(spark, sf_dir, "documents").select("doc_id", block.alias("_normalizer"), applied.alias("_rules_applied"))
+    return signals.extract(df, "invoice", keep=("doc_id",)).select("doc_id", "ocr_confidence", "words_per_page", "engine_agreement", "engine_confidence_spread", "is_ocr", "rules_applied")
+
+
+@query(f"""WITH {_LINES}, f AS (SELECT k, sum(n) AS n FROM found GROUP BY k)
+SELECT b.k, round((CASE WHEN b.k % 13 = 0 THEN 1 ELSE 0 END + 6) / 11.0::DOUBLE, 4) AS blank_share, b.n::DOUBLE AS rows, coalesce(f.n, 0)::DOUBLE AS validator_errors, 0.0::DOUBLE AS validator_warnings FROM bills b LEFT JOIN f USING (k)""")
+def answer_signals(spark, sf_dir):
+    """Blank declared fields, rows and findings of each bill."""
+    checked = validate.check(bills(spark, sf_dir), "invoice", enabled=("arithmetic", "required"))
+    return signals.extract(checked, "invoice", keep=("k",)).select("k", "blank_share", "rows", "validator_errors", "validator_warnings")
+
+
 # -- routing ---------------------------------------------------------------
 
 _ROUTED = f"""{_JUDGED}, d AS (SELECT *, (conf < 0.5::DOUBLE)::INT AS g1, (n_chars / 10.0::DOUBLE < 60::DOUBLE)::INT AS g2, (toxic > 0)::INT AS g3 FROM j), a AS (SELECT *, g1 + g2 + g3 AS n FROM d)"""
@@ -598,9 +670,7 @@ def bootstrap_ci(spark, sf_dir):
     """Interval of the mean difference of two arms, by language, over clusters of one source."""
     a, b = _arms(spark, sf_dir)
     d = a.join(b.select("file", F.col("value").alias("y")), "file").join(judged(spark, sf_dir).select(F.col("doc_id").alias("file"), "lang"), "file")
-    per = d.groupBy("lang", "source").agg(F.avg(F.col("value") - F.col("y")).alias("m"))
-    rows = per.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct(F.col("source").alias("cluster"), F.col("m").alias("value")))).alias("r"))
-    return rows.select("lang", repair.bootstrap(F.col("r")).alias("ci")).select("lang", "ci.low", "ci.high")
+    return repair.interval(d, F.col("value") - F.col("y"), by=("lang",))
 
 
 @query(f"""WITH {_JUDGED}, c AS (SELECT count(*) FILTER (outcome > 0 AND toxic > 0)::DOUBLE AS a, count(*) FILTER (toxic > 0)::DOUBLE AS n1, count(*) FILTER (outcome > 0 AND toxic = 0)::DOUBLE AS b, count(*) FILTER (toxic = 0)::DOUBLE AS n0 FROM j),
@@ -624,8 +694,57 @@ def documents_needed(spark, sf_dir):
 @query(f"WITH {_JUDGED}, r AS (SELECT lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars) AS k, count(*) OVER (PARTITION BY lang) AS n FROM j) SELECT lang, max(n_chars) FILTER (k = n // 2 + 1) AS median, max(n_chars) FILTER (k = greatest(1, floor(n * 0.1::DOUBLE)::BIGINT)) AS p10, min(n_chars) AS worst FROM r GROUP BY lang")
 def order_statistics(spark, sf_dir):
     """Upper median, tenth and worst by position."""
-    j = judged(spark, sf_dir)
-    return j.groupBy("lang").agg(*(c.alias(n) for n, c in repair.ordered(F.col("n_chars")).items()))
+    return repair.ordered(judged(spark, sf_dir), ("lang",), "n_chars")
+
+
+_OUTCOMES = """o AS (SELECT a.arm, d.doc_id, d.source, d.doc_id % 7 AS c0,
+  CASE a.arm WHEN 'no_repair' THEN d.doc_id % 7 WHEN 'rerun@1' THEN greatest(0, d.doc_id % 7 + d.doc_id % 3 - 1) ELSE greatest(0, d.doc_id % 7 + d.doc_id % 4 - 1) END AS c1,
+  d.doc_id % 2 AS g0, CASE WHEN a.arm = 'no_repair' THEN d.doc_id % 2 WHEN d.doc_id % 3 = 0 THEN 0 ELSE 1 END AS g1,
+  CASE WHEN a.arm <> 'no_repair' AND d.doc_id % 10 = 9 THEN 'timeout' ELSE '' END AS error
+  FROM documents d CROSS JOIN (VALUES ('no_repair'), ('rerun@1'), ('reprompt@1')) a(arm))"""
+
+
+def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two repair arms and their control over every document."""
+    d = F.col("doc_id")
+    base = _read(spark, sf_dir, "documents").select(
+        d.alias("file"), "source", (d % 7 / F.lit(10.0)).alias("before"), (d % 7).alias("correct_before"), F.lit(10).alias("fields"), (d % 2).alias("gates_before"),
+        F.when(d % 3 == 0, 0).otherwise(1).cast("bigint").alias("gates_after"), F.lit(1).alias("attempts"), F.when(d % 10 == 9, "timeout").otherwise("").alias("error"),
+    )
+    k = F.col("file")
+    gain = {"rerun@1": k % 3 - 1, "reprompt@1": k % 4 - 1}
+    arms = [base.withColumn("arm", F.lit(a)).withColumn("correct_after", F.greatest(F.lit(0), F.col("correct_before") + g)) for a, g in gain.items()]
+    arms = [x.withColumn("after", F.col("correct_after") / F.lit(10.0)) for x in arms]
+    return arms[0].unionByName(arms[1]).unionByName(repair.no_repair(arms[0]))
+
+
+@query(f"""WITH {_OUTCOMES}, e AS (SELECT *, c1 / 10.0::DOUBLE - c0 / 10.0::DOUBLE AS d FROM o), r AS (SELECT arm, round(d, 4) AS d, row_number() OVER (PARTITION BY arm ORDER BY d) AS k, count(*) OVER (PARTITION BY arm) AS n FROM e),
+p AS (SELECT arm, max(d) FILTER (k = n // 2 + 1) AS median_delta, max(d) FILTER (k = greatest(1, floor(n * 0.1::DOUBLE)::BIGINT)) AS p10_delta, min(d) AS worst_delta FROM r GROUP BY arm)
+SELECT arm, count(*) AS documents, count(*) FILTER (error <> '') AS failed, round(avg(d), 4) AS net_delta, round(sum(c1 - c0) / sum(10)::DOUBLE, 4) AS net_delta_field_weighted, round(avg(d) FILTER (error = ''), 4) AS net_delta_when_it_ran,
+  count(*) FILTER (c1 > c0) AS improved, count(*) FILTER (c1 < c0) AS damaged, count(*) FILTER (c1 = c0) AS unchanged, round(avg(d) FILTER (c1 > c0), 4) AS gain_when_improved, round(avg(d) FILTER (c1 < c0), 4) AS loss_when_damaged,
+  any_value(median_delta) AS median_delta, any_value(p10_delta) AS p10_delta, any_value(worst_delta) AS worst_delta, count(*) FILTER (g1 = 0 AND g0 > 0) AS gates_clear FROM e JOIN p USING (arm) GROUP BY arm""")
+def repair_arms(spark, sf_dir):
+    """What each arm fixed and broke."""
+    return repair.score_arms(outcomes(spark, sf_dir)).select(
+        "arm", "documents", "failed", "net_delta", "net_delta_field_weighted", "net_delta_when_it_ran", "improved", "damaged", "unchanged", "gain_when_improved", "loss_when_damaged", "median_delta", "p10_delta", "worst_delta", "gates_clear"
+    )
+
+
+@query(f"""WITH {_OUTCOMES}, d AS (SELECT a.arm, b.arm AS control, a.source, (a.c1 - b.c1) / 10.0::DOUBLE AS d FROM o a JOIN o b ON a.doc_id = b.doc_id AND (b.arm = 'no_repair' AND a.arm <> 'no_repair' OR b.arm = 'rerun@1' AND a.arm = 'reprompt@1'))
+SELECT arm, control, count(*) AS files, round(avg(d), 4) AS mean_delta, count(*) FILTER (d > 1e-3::DOUBLE) AS better, count(*) FILTER (d < -1e-3::DOUBLE) AS worse, count(*) FILTER (abs(d) <= 1e-3::DOUBLE) AS tied, count(DISTINCT coalesce(source, ''))::INT AS clusters FROM d GROUP BY ALL""")
+def arms_against_controls(spark, sf_dir):
+    """Each arm beside doing nothing and beside the blind arm of its budget."""
+    return repair.against(outcomes(spark, sf_dir)).drop("low", "high", "resolvable")
+
+
+@query()
+def arms_intervals(spark, sf_dir):
+    return repair.against(outcomes(spark, sf_dir)).select("arm", "control", "low", "high", "resolvable")
+
+
+@query(f"WITH {_OUTCOMES} SELECT arm, source, count(*) AS documents, round(avg((c1 - c0) / 10.0::DOUBLE), 4) AS net_delta, count(*) FILTER (c1 > c0) AS improved, count(*) FILTER (c1 < c0) AS damaged FROM o GROUP BY ALL")
+def repair_by_slice(spark, sf_dir):
+    return repair.score_arms(outcomes(spark, sf_dir), ("arm", "source")).select("arm", "source", "documents", "net_delta", "improved", "damaged")
 
 
 # -- sampling and provenance -----------------------------------------------
@@ -704,5 +823,130 @@ def pending_jobs(spark, sf_dir):
     return pending(jobs, jobs.where("file % 4 <> 0"))
 
 
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 AND c_custkey % 3 <> 0 THEN 'second' ELSE 'first' END AS engine, CASE WHEN c_custkey % 3 <> 0 THEN 1.0::DOUBLE END AS agreement FROM customer""")
+def ocr_consensus(spark, sf_dir):
+    """The best of two readings and whether they agree; they differ in case only, or one is blank."""
+    k = F.col("c_custkey")
+    one = lambda n, name, text, conf: F.struct(F.lit(n).alias("order"), F.lit(name).alias("engine"), text.alias("text"), F.lit("ocr").alias("layer"), conf.alias("confidence"))
+    both = F.array(one(1, "first", F.col("c_name"), F.when(k % 2 == 0, 0.5).otherwise(0.9)), one(2, "second", F.when(k % 3 == 0, " ").otherwise(F.lower("c_name")), F.lit(0.7)))
+    rows = _read(spark, sf_dir, "customer").select("c_custkey", F.explode(both).alias("r")).select("c_custkey", "r.*")
+    return readings.consensus(rows, "c_custkey").select("c_custkey", "engine", "agreement")
+
+
+@query("""WITH g AS (SELECT e.engine, d.source AS profile, (d.doc_id + e.n) % 11 AS c FROM documents d CROSS JOIN (VALUES ('one', 1), ('two', 2), ('three', 3)) e(engine, n) WHERE d.doc_id % 5 <> 0 AND (d.doc_id + e.n) % 6 <> 0)
+SELECT engine, profile, count(*) AS documents, round(sum(c) / sum(10)::DOUBLE, 4) AS accuracy FROM g GROUP BY engine, profile UNION ALL SELECT engine, NULL, count(*), round(sum(c) / sum(10)::DOUBLE, 4) FROM g GROUP BY engine""")
+def engine_accuracy(spark, sf_dir):
+    """Three engines over the files that all of them have."""
+    d = _read(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("none")).alias("profile"))
+    names = F.array(*(F.struct(F.lit(e).alias("engine"), F.lit(i).alias("n")) for i, e in enumerate(("one", "two", "three"), 1)))
+    rows = d.select(F.col("doc_id").alias("file"), "profile", F.explode(names).alias("e")).select("file", "profile", "e.engine", ((F.col("file") + F.col("e.n")) % 11).alias("fields_correct"), F.lit(10).alias("fields_graded"), ((F.col("file") + F.col("e.n")) % 6 == 0).alias("failed"))
+    return readings.engine_accuracy(rows.where("file % 5 <> 0 or engine <> 'two'"))
+
+
+@query("""WITH t AS (SELECT p_partkey, trim(regexp_replace(p_name, '\\s+', ' ', 'g')) AS t FROM part)
+SELECT p_partkey, (length(t) - length(replace(t, ' ', '')) + 1)::INT AS words, round(10 + 300 * length(split_part(t, ' ', 1)) / length(t)::DOUBLE, 4) AS first_right, 310.0::DOUBLE AS last_right FROM t""")
+def word_boxes(spark, sf_dir):
+    """A line's box divided among its words."""
+    box = F.struct(F.lit(10.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(310.0).alias("x1"), F.lit(9.0).alias("y1"))
+    w = _read(spark, sf_dir, "part").select("p_partkey", readings.split_line(F.col("p_name"), box).alias("w"))
+    return w.select("p_partkey", F.size("w").alias("words"), F.round(F.col("w")[0]["x1"], 4).alias("first_right"), F.round(F.element_at("w", -1)["x1"], 4).alias("last_right"))
+
+
+@query("""WITH b AS (SELECT l_orderkey AS k, l_quantity::DOUBLE AS a, l_quantity + 10 - 2 * l_linenumber::DOUBLE AS b, l_linenumber AS i FROM lineitem WHERE l_linenumber <> 5),
+n AS (SELECT k, floor(least(a, b) / 100::DOUBLE * 1000)::INT AS x0, floor(greatest(a, b) / 100::DOUBLE * 1000)::INT AS x1 FROM b)
+SELECT o.k, count(n.k)::INT AS boxes, coalesce(sum(greatest(0, x0)), 0)::BIGINT AS lefts, coalesce(sum(x1), 0)::BIGINT AS rights FROM (SELECT DISTINCT l_orderkey AS k FROM lineitem) o LEFT JOIN n ON o.k = n.k GROUP BY o.k""")
+def normalize_boxes(spark, sf_dir):
+    """Word boxes on a grid of 1000, corners in order, empty ones dropped."""
+    q, i = F.col("l_quantity").cast("double"), F.col("l_linenumber")
+    word = F.struct(F.lit(1).alias("page"), F.lit("w").alias("text"), q.alias("x0"), (q + 10 - 2 * i).alias("x1"), (i * 3.0).alias("y0"), (i * 3.0 + 2).alias("y1"))
+    df = _read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_list(word).alias("w"))
+    total = lambda side: F.aggregate("b", F.lit(0).cast("bigint"), lambda s, b: s + b[side])
+    return df.select("k", geometry.normalize_boxes(F.col("w"), F.lit(100.0), F.lit(50.0)).alias("b")).select("k", F.size("b").alias("boxes"), total("x0").alias("lefts"), total("x1").alias("rights"))
+
+
+@query(f"""WITH {_CUTS}, c AS (SELECT conv_id, boundary, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM b WHERE turn % 2 = 0 AND rn > 1)
+SELECT count(*) AS same_type_boundaries, count(*) FILTER (boundary) AS hit, round(count(*) FILTER (boundary) / nullif(count(*), 0)::DOUBLE, 4) AS same_type_recall FROM c WHERE i % 2 = 0""")
+def same_type_recall(spark, sf_dir):
+    """Recall of the cuts between two documents of one type; the documents come in pairs of a type."""
+    cuts = _pages(spark, sf_dir).groupBy("conv_id").agg(
+        F.collect_list(F.when(F.col("boundary"), F.col("turn"))).alias("predicted"), F.collect_list(F.when(F.col("turn") % 2 == 0, F.col("turn"))).alias("t"), F.min("turn").alias("first")
+    )
+    cuts = cuts.select("predicted", F.array_remove("t", F.col("first")).alias("truth"))
+    return split.same_type_recall(cuts.withColumn("types", F.transform(F.sequence(F.lit(0), F.size("truth")), lambda i: F.floor(i / 2))))
+
+
+# -- answers ---------------------------------------------------------------
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 6 < 4 THEN c_custkey END AS k, CASE WHEN c_custkey % 6 = 4 THEN 'unparseable' WHEN c_custkey % 6 = 5 THEN 'truncated' END AS problem FROM customer")
+def answer_objects(spark, sf_dir):
+    """The JSON object of plain, fenced and wrapped answers, and why there is none."""
+    k = F.col("c_custkey")
+    body = F.to_json(F.struct(k.alias("k"), F.lit("a } b").alias("note")))
+    said = F.when(k % 6 == 0, body).when(k % 6 == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k % 6 == 2, F.concat(F.lit("Here it is: "), body, F.lit(" as asked."))).when(k % 6 == 3, F.concat(F.lit("```\n"), body, F.lit("```"))).otherwise(F.substring(body, 1, 6))
+    got = _read(spark, sf_dir, "customer").select(k, said.alias("said")).withColumn("body", answers.extract_json(F.col("said")))
+    return got.select(k, F.get_json_object("body", "$.k").cast("bigint").alias("k"), answers.taxonomy(F.col("said"), F.col("body"), k % 6 == 5, F.lit(None)).alias("problem"))
+
+
+@query("SELECT CASE event_id % 3 WHEN 0 THEN 'timeout: ' || event_type ELSE 'parse' END AS cause, count(*) AS n FROM events WHERE event_id % 3 <> 2 GROUP BY ALL")
+def error_causes(spark, sf_dir):
+    k = F.col("event_id") % 3
+    error = F.when(k == 0, F.concat(F.lit("timeout: "), F.col("event_type"), F.lit(": after "), F.col("event_id").cast("string"))).when(k == 1, "parse").otherwise("")
+    return answers.error_causes(_read(spark, sf_dir, "events").select(error.alias("_error")))
+
+
+@query("""SELECT event_type AS model, count(*) AS calls, sum(event_id % 1000)::BIGINT AS tokens_in, sum(event_id % 100)::BIGINT AS tokens_out,
+  round(sum(CASE event_type WHEN 'click' THEN (event_id % 1000 * 5.0::DOUBLE + event_id % 100 * 25.0::DOUBLE) / 1000000 ELSE 0.0::DOUBLE END), 4) AS usd, round(count(*) * 0.5::DOUBLE, 1) AS latency_s FROM events GROUP BY event_type""")
+def usage_cost(spark, sf_dir):
+    """Tokens and cost by model; one without a price costs nothing."""
+    e = _read(spark, sf_dir, "events").select(F.col("event_type").alias("model"), (F.col("event_id") % 1000).alias("tokens_in"), (F.col("event_id") % 100).alias("tokens_out"), F.lit(0.5).alias("seconds"))
+    prices = spark.createDataFrame([("click", 5.0, 25.0), ("other", 1.0, 1.0)], "model string, usd_in double, usd_out double")
+    return answers.usage(answers.priced(e, prices), ("model",))
+
+
+@query("""SELECT doc_id || '__' || l.level AS file, l.level AS profile FROM documents CROSS JOIN (VALUES ('light'), ('fax')) l(level)""")
+def degrade_fanout(spark, sf_dir):
+    d = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file"))
+    out = readings.degrade(d, ("light", "fax"))
+    return out.select("file", f.profile_of(F.col("file")).alias("profile"))
+
+
+@query("""WITH f AS (SELECT p_partkey::VARCHAR AS n, CASE WHEN p_partkey % 9 <> 0 THEN p_name END AS c FROM part), p AS (
+  SELECT substr(sha256(n), 1, 2) AS p, sha256(coalesce(string_agg(n || chr(0) || sha256(c), chr(0) ORDER BY n), '')) AS h, count(*) AS k, sum(strlen(c)) AS b, count(*) FILTER (c IS NULL) AS m FROM f GROUP BY p)
+SELECT sum(k)::BIGINT AS members, sum(b)::BIGINT AS bytes, sum(m)::BIGINT AS missing, substr(sha256(string_agg(p || h, chr(0) ORDER BY p)), 1, 16) AS fingerprint FROM p""")
+def content_fingerprint(spark, sf_dir):
+    """Names and contents under one fingerprint, absent contents counted."""
+    k = F.col("p_partkey")
+    return provenance.content_fingerprint(_read(spark, sf_dir, "part").select(k.cast("string").alias("n"), F.when(k % 9 != 0, F.col("p_name")).alias("c")), "n", "c")
+
+
+# -- streams ---------------------------------------------------------------
+
+
+def _streamed(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """The table's files as a stream; a table may be one file or a folder of them."""
+    return spark.readStream.schema(_read(spark, sf_dir, table).schema).parquet(f"{sf_dir}/{table}.parquet*")
+
+
+@query("SELECT doc_id, CASE WHEN n_chars / 10.0::DOUBLE < 60 THEN 'review' ELSE 'accept' END AS action FROM documents")
+def stream_route(spark, sf_dir):
+    """Documents routed as they come, into a table."""
+    docs = _streamed(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    out = ingest.routed(docs, {"words_per_page": F.col("n_chars") / 10}, {"words_floor": 60.0, "classifier_floor": 0.0})
+    place = workspace(spark)
+    ingest.sink_once(out.select("doc_id", "action"), f"{place}/rows", f"{place}/state").awaitTermination()
+    return spark.read.schema("doc_id bigint, action string").parquet(f"{place}/rows")
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS ids FROM events GROUP BY event_type")
+def stream_resume(spark, sf_dir):
+    """Started twice on one checkpoint, an ingest appends each row once."""
+    place = workspace(spark)
+    for _ in range(2):
+        rows = _streamed(spark, sf_dir, "events").select("event_id", "event_type")
+        ingest.sink_once(rows, f"{place}/rows", f"{place}/state").awaitTermination()
+    return spark.read.schema("event_id bigint, event_type string").parquet(f"{place}/rows").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["route_score"](spark, sf_dir)

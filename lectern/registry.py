@@ -142,3 +142,33 @@ def field_spec(spark: SparkSession) -> DataFrame:
         [(t, v, p, f.name, f.kind, f.weight, f.tolerance, f.key, f.optional) for t, v, p, f in rows],
         "doc_type string, variant string, path string, field string, kind string, weight double, tolerance double, is_key boolean, optional boolean",
     )
+
+
+# Kinds whose values are numbers or truth values in JSON; all others are strings.
+JSON_KINDS = {"money": "number", "number": "number", "bool": "boolean"}
+
+
+def json_schema(name: str, variant: str = "") -> dict:
+    """JSON Schema of a type's answer: nullable values, optional fields as a status with a value, groups with a row limit.
+
+    The variant's key is not asked for, as it chose the schema.
+    """
+
+    def value(f: Field) -> dict:
+        plain = {"type": [JSON_KINDS.get(f.kind, "string"), "null"]}
+        return closed({"status": {"type": "string", "enum": ["present", "absent", "unclear"]}, "value": plain}) if f.optional else plain
+
+    def closed(properties: dict) -> dict:
+        return {"type": "object", "properties": properties, "required": list(properties), "additionalProperties": False}
+
+    def body(fields: tuple[Field, ...], groups: tuple[Group, ...]) -> dict:
+        rows = {g.name: {"type": "array", "maxItems": g.max_rows, "items": body(g.fields, g.groups)} for g in groups}
+        return closed({f.name: value(f) for f in fields} | rows)
+
+    t = TYPES[name]
+    return body(t.graded_fields(variant), t.groups)
+
+
+def type_of_stem(stem: str) -> DocType | None:
+    """The type whose label file has that stem."""
+    return next((t for t in TYPES.values() if t.label_file == stem), None)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -23,3 +25,12 @@ def ship(spark: SparkSession | None = None) -> None:
     given = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in given.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, given) if x)
+
+
+def workspace(spark: SparkSession) -> str:
+    """A new folder name for tables between steps: in the shared folder that the cluster names, else in a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        named = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="lectern-")
+    return f"{named.rstrip('/')}/lectern-{uuid.uuid4().hex}"

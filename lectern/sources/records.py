@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..registry import TYPES
+
 FORMAT = 1
 
 
@@ -57,3 +59,45 @@ def resume(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     full = T.StructType([*schema.fields, T.StructField("_error", T.StringType()), T.StructField("_corrupt", T.StringType())])
     rows = spark.read.schema(full).option("columnNameOfCorruptRecord", "_corrupt").json(path).cache()
     return rows.where("_corrupt is null and coalesce(_error, '') = ''").drop("_corrupt", "_error")
+
+
+def jobs(labels: DataFrame) -> DataFrame:
+    """(file, doc_type, variant) of labelled records with their stem; a stem that belongs to no type gives no job."""
+    known = [(t.label_file, t.name, t.variant_key) for t in TYPES.values()]
+    kind, variant = F.lit(None).cast("string"), F.lit("")
+    for stem, name, key in known:
+        kind = F.when(F.col("stem") == stem, name).otherwise(kind)
+        if key and key in labels.columns:
+            variant = F.when(F.col("stem") == stem, F.coalesce(F.col(key), F.lit(""))).otherwise(variant)
+    return labels.select("file", kind.alias("doc_type"), variant.alias("variant")).where("doc_type is not null")
+
+
+def from_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Pieces of a splitter's manifest: their files only, as the truth beside them must not be seen."""
+    return spark.read.schema("file string").json(path).where("file is not null")
+
+
+def manifest(pieces: DataFrame) -> DataFrame:
+    """Rows of `split.match` with a name for each piece."""
+    name = F.format_string("%s#%d-%d", F.col("file").cast("string"), F.col("first_page").cast("bigint"), F.col("last_page").cast("bigint"))
+    return pieces.withColumn("source", F.col("file")).withColumn("file", name)
+
+
+def write_report(df: DataFrame, path: str, kind: str, version: str = "1") -> None:
+    """A report as JSON lines, each with its kind and version."""
+    body = F.to_json(F.struct(F.lit(kind).alias("report"), F.lit(version).alias("version"), F.struct(*df.columns).alias("row")))
+    df.select(body.alias("value")).write.mode("overwrite").text(path)
+
+
+def read_report(spark: SparkSession, path: str, schema: T.StructType, version: str = "1") -> DataFrame:
+    """The rows of a report; one of another version is an error."""
+    whole = T.StructType([T.StructField("report", T.StringType()), T.StructField("version", T.StringType()), T.StructField("row", schema)])
+    rows = spark.read.schema(whole).json(path)
+    if rows.where(~F.col("version").eqNullSafe(F.lit(version))).limit(1).count():
+        raise ValueError("the report has another version")
+    return rows.select("row.*")
+
+
+def no_answers(truth: DataFrame, kind: str) -> DataFrame:
+    """Predictions to test a score with: `none` (no rows), `empty` (keys only) or `self` (the truth)."""
+    return {"none": truth.limit(0), "empty": truth.select("file"), "self": truth}[kind]

@@ -176,12 +176,9 @@ def test_swap_negates_and_self_is_zero(spark):
 
 def test_bootstrap_repeats_and_needs_three_clusters(spark):
     a, _ = arms(spark)
-    rows = a.agg(F.collect_list(F.struct(F.col("source").alias("cluster"), "value")).alias("r"))
-    shuffled = a.orderBy(F.rand(3)).agg(F.collect_list(F.struct(F.col("source").alias("cluster"), "value")).alias("r"))
-    x, y = (d.select(repair.bootstrap(F.col("r")).alias("c")).first().c for d in (rows, shuffled))
-    assert x == y and x.low < x.high
-    two = a.where("source in ('s0', 's1')").agg(F.collect_list(F.struct(F.col("source").alias("cluster"), "value")).alias("r"))
-    assert two.select(repair.bootstrap(F.col("r")).alias("c")).first().c.low is None
+    x, y = (repair.interval(d, F.col("value")).first() for d in (a, a.orderBy(F.rand(3))))
+    assert x == y and x.low < x.high and x.clusters == 20
+    assert repair.interval(a.where("source in ('s0', 's1')"), F.col("value")).first().low is None
 
 
 def test_stratified(spark):
