@@ -46,7 +46,7 @@ def marked(pages: DataFrame, key: str = "file") -> DataFrame:
 
 def quad_box(corners: Column) -> Column:
     """The upright box around a quadrilateral array<struct<x, y>>."""
-    xs, ys = (F.transform(corners, lambda p, c=c: p[c].cast("double")) for c in ("x", "y"))
+    xs, ys = F.transform(corners, lambda p: p["x"].cast("double")), F.transform(corners, lambda p: p["y"].cast("double"))
     return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
 
 
@@ -70,7 +70,7 @@ def split_line(text: Column, box: Column) -> Column:
 def summarise(text: Column, confidence: Column, seconds: Column) -> Column:
     """`120ch/conf0.93/1.2s`, a dash where there is no confidence."""
     return F.concat(
-        F.length(F.coalesce(text, F.lit(""))).cast("string"), F.lit("ch/conf"), F.coalesce(F.format_string("%.2f", confidence.cast("double")), F.lit("-")),
+        F.length(F.coalesce(text, F.lit(""))).cast("string"), F.lit("ch/conf"), F.when(confidence.isNull(), "-").otherwise(F.format_string("%.2f", confidence.cast("double"))),
         F.lit("/"), F.format_string("%.1f", seconds.cast("double")), F.lit("s"),
     )
 
