@@ -50,6 +50,54 @@ SELECT conv_id, count(*) AS n_turns,
 FROM escaped GROUP BY conv_id
 """
 
+#: All pairs of a label, then what links reach.
+NEARDUP_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+), ok AS (
+  SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS norm FROM v
+  WHERE label IS NOT NULL AND len(e) > 0 AND len([x for x in e if x IS NULL OR NOT isfinite(x)]) = 0 AND list_dot_product(e, e) > 0
+), link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98::DOUBLE
+), reach AS (
+  SELECT a AS node, a AS seen FROM link UNION SELECT r.node, l.b FROM reach r JOIN link l ON r.seen = l.a
+), root AS (SELECT node, min(seen) AS root FROM reach GROUP BY node), n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, coalesce(root, v.vec_id) AS component_id, coalesce(root, v.vec_id) = v.vec_id AS kept
+FROM v LEFT JOIN root ON node = v.vec_id LEFT JOIN n ON a = v.vec_id
+"""
+
+#: Every window as text; positions that a window met twice covers go.
+SUBSTRING_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, unnest([md5(array_to_string(w[i:i + 34], ' ')) for i in range(1, len(w) - 33)]) AS h FROM d WHERE len(w) >= 35),
+r AS (SELECT doc_id, i FROM s WHERE h IN (SELECT h FROM s GROUP BY h HAVING count(*) > 1)),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM r),
+p AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d),
+k AS (SELECT p.doc_id, count(*) AS kept, string_agg(word, ' ' ORDER BY p.i) AS t FROM p ANTI JOIN c ON p.doc_id = c.doc_id AND p.i = c.i GROUP BY p.doc_id)
+SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(kept, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
+#: Overlaps of all pairs that share a shingle, then what links reach.
+JACCARD_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i:i + 2], ' ') for i in range(1, len(w) - 1)] END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+t AS (SELECT doc_id, dense_rank() OVER (ORDER BY g) AS g FROM s),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM t a JOIN t b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+half AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+link AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+reach AS (SELECT a AS node, a AS seen FROM link UNION SELECT r.node, l.b FROM reach r JOIN link l ON r.seen = l.a),
+root AS (SELECT node, min(seen) AS root FROM reach GROUP BY node), m AS (SELECT a, count(*) AS m FROM link GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(root, d.doc_id) AS component_id, coalesce(m, 0)::BIGINT AS n_links
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN root ON node = d.doc_id LEFT JOIN m ON a = d.doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": CHAT_SQL}
+    return {
+        "op2_chat_formatting": CHAT_SQL,
+        "op4_embedding_near_dedup": NEARDUP_SQL,
+        "op9_substring_dedup": SUBSTRING_SQL,
+        "op10_ngram_jaccard_join": JACCARD_SQL,
+    }

@@ -310,10 +310,11 @@ def test_chat_escape_is_reversible(spark, text):
     assert chat.digest(out).first().loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
-def test_chat_query_equals_sql(spark, duck, sf_dir):
+@pytest.mark.parametrize("name", sorted(registered.oracle_sql()))
+def test_query_equals_sql(spark, duck, sf_dir, name):
     from oracle import same
 
-    same(registered.queries()["op2_chat_formatting"](spark, sf_dir), duck, registered.oracle_sql()["op2_chat_formatting"])
+    same(registered.queries()[name](spark, sf_dir), duck, registered.oracle_sql()[name])
 
 
 def test_empty_tables(empty, spark):
