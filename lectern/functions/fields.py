@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from .fuzzy import nfkd, ratio
 
 # Date formats in the order they are tried, legal suffixes, words for booleans.
 DATE_FORMATS = ("yyyy-M-d", "M/d/yyyy", "M/d/yy", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "yyyy/M/d")
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 LEGAL_SUFFIXES = (
     "incorporated", "inc", "llc", "l l c", "llp", "l l p", "ltd", "limited", "corporation", "corp", "co", "company", "plc", "pvt",
     "private", "gmbh", "sa", "nv",
@@ -18,7 +22,9 @@ FALSE_WORDS = ("false", "no", "n", "0", "unchecked", "☐")
 MONEY_TOLERANCE, NAME_THRESHOLD, TEXT_THRESHOLD = 0.01, 0.90, 0.85
 
 
-def is_blank(c: Column) -> Column:
+def is_blank(c: Column, ready: bool = False) -> Column:
+    if ready:
+        return c.isNull() | (c == "")
     return c.isNull() | c.cast("string").rlike(r"(?U)^\s*$")
 
 
@@ -33,25 +39,35 @@ def clean(c: Column, unicode: bool = False, ready: bool = False) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), "^ | $", "")
 
 
+@cache
+def _layout(forms: tuple[str, ...]) -> tuple[str, str]:
+    """One pattern of alternatives for all formats, and what turns a match into year-month-day."""
+    parts = {"yyyy": r"\d{4}", "yy": r"\d{2}", "M": r"\d{1,2}", "d": r"\d{1,2}", "MMM": "[A-Za-z]{3}", "MMMM": "[A-Za-z]{3,}"}
+    groups = [m for form in forms for m in re.findall("[A-Za-z]+", form)]
+    ways = "|".join(re.sub("[A-Za-z]+", lambda m: f"({parts[m[0]]})", form) for form in forms)
+    return f"^(?:{ways})$", "-".join("".join(f"${i}" for i, g in enumerate(groups, 1) if g[0] == unit) for unit in "yMd")
+
+
+def _dated(text: Column, forms: tuple[str, ...]) -> Column:
+    """The date of a text in any of the formats; rewritten and cast, as a failed parse of each format would cost an exception."""
+    pattern, order = _layout(forms)
+    iso = F.regexp_replace(text, pattern, order)
+    if "M/d/yy" in forms:  # two digits from 69 on are of the last century
+        iso = F.regexp_replace(F.regexp_replace(iso, r"^(69|[7-9]\d)-", "19$1-"), r"^(\d\d)-", "20$1-")
+    names = {n[:3]: i for i, n in enumerate(MONTHS, 1)} | ({n: i for i, n in enumerate(MONTHS, 1)} if any("MMMM" in form for form in forms) else {})
+    named = F.regexp_extract(text, "[A-Za-z]+", 0)
+    number = F.try_element_at(F.create_map(*(F.lit(str(x)) for pair in names.items() for x in pair)), F.lower(named))
+    return F.when(text.rlike(pattern) & ~text.contains("0000"), F.replace(iso, named, F.coalesce(number, F.lit("")))).try_cast("date")
+
+
 def parse_date(c: Column, ready: bool = False) -> Column:
-    text = clean(c, ready=ready)
-    tries = []
-    for f in DATE_FORMATS:
-        got = F.to_date(F.try_to_timestamp(F.initcap(text) if "MMM" in f else text, F.lit(f)))
-        if f == "M/d/yy":  # two digits from 69 on are of the last century
-            got = F.when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{2}$"), F.when(F.year(got) >= 2069, F.add_months(got, -1200)).otherwise(got))
-        if f == "M/d/yyyy":
-            got = F.when(text.rlike(r"/\d{4}$"), got)
-        tries.append(got)
-    return F.coalesce(*tries)
+    return _dated(clean(c, ready=ready), DATE_FORMATS)
 
 
 def parse_money(c: Column, ready: bool = False) -> Column:
     text = clean(c, ready=ready)
-    kept = F.regexp_replace(text, r"[^0-9.\-()]", "")
-    negative = text.rlike(r"^\(.*\)$")
-    amount = F.regexp_replace(kept, r"[()]", "").try_cast("double")
-    return F.when(negative & (amount > 0), -amount).otherwise(amount)
+    amount = F.regexp_replace(text, r"[^0-9.\-]", "").try_cast("double")
+    return F.when(text.rlike(r"^\(.*\)$"), F.lit(0.0) - F.abs(amount)).otherwise(amount)
 
 
 def parse_bool(c: Column, ready: bool = False) -> Column:
@@ -84,30 +100,33 @@ def number(c: Column) -> Column:
 
 def plain_date(c: Column) -> Column:
     """The validators' own reading of a date: four formats."""
-    text = F.trim(c.cast("string"))
-    return F.coalesce(*(F.to_date(F.try_to_timestamp(text, F.lit(f))) for f in ("yyyy-M-d", "M/d/yyyy", "MMM d, yyyy", "d MMM yyyy")))
+    return _dated(F.trim(c.cast("string")), ("yyyy-M-d", "M/d/yyyy", "MMM d, yyyy", "d MMM yyyy"))
+
+
+#: How a value of a kind is read before it is compared.
+READ = {"date": parse_date, "money": parse_money, "number": parse_money, "bool": parse_bool}
 
 
-def compare(kind: str, predicted: Column, truth: Column, tolerance: float | None = None, threshold: float | None = None, unicode: bool = False, ready: bool = False) -> Column:
-    """struct<exact, match, note> of a predicted value under the rules of its kind.
+def compare(kind: str, predicted: Column, truth: Column, tolerance: float | None = None, threshold: float | None = None, unicode: bool = False, ready: bool = False, values: tuple[Column, Column] | None = None) -> Column:
+    """struct<exact, match, note> of a predicted value under the rules of its kind; `values`: both sides as `READ` gives them, if at hand.
 
     Only names and free text need the fuzzy ratio; every other kind stays in generated code.
     """
-    p_blank, t_blank = is_blank(predicted), is_blank(truth)
+    p_blank, t_blank = is_blank(predicted, ready), is_blank(truth, ready)
     exact = clean(predicted, unicode, ready) == clean(truth, unicode, ready)
 
-    def parsed(parse, same, what, form):
-        p, t = parse(predicted, ready), parse(truth, ready)
+    def parsed(same, what, form):
+        p, t = values or (READ[kind](predicted, ready), READ[kind](truth, ready))
         known = p.isNotNull() & t.isNotNull()
         return F.when(known, same(p, t)).otherwise(exact), F.when(exact, "").when(known, form).otherwise(f"unparseable {what}")
 
     if kind == "date":
-        match, note = parsed(parse_date, lambda p, t: p == t, "date", "date format")
+        match, note = parsed(lambda p, t: p == t, "date", "date format")
     elif kind in ("money", "number"):
         tol = MONEY_TOLERANCE if tolerance is None else tolerance
-        match, note = parsed(parse_money, lambda p, t: F.abs(p - t) <= tol, "number", f"within {tol}")
+        match, note = parsed(lambda p, t: F.abs(p - t) <= tol, "number", f"within {tol}")
     elif kind == "bool":
-        match, note = parsed(parse_bool, lambda p, t: p == t, "boolean", "boolean form")
+        match, note = parsed(lambda p, t: p == t, "boolean", "boolean form")
     elif kind in ("identifier", "enum"):
         match, note = normalise_identifier(predicted, unicode, ready) == normalise_identifier(truth, unicode, ready), F.when(exact, "").otherwise("case/separators")
     elif kind in ("ssn", "ein", "phone", "account"):
@@ -132,8 +151,8 @@ def compare(kind: str, predicted: Column, truth: Column, tolerance: float | None
     )
 
 
-def field_state(predicted: Column, truth: Column, match: Column) -> Column:
-    p, t = is_blank(predicted), is_blank(truth)
+def field_state(predicted: Column, truth: Column, match: Column, ready: bool = False) -> Column:
+    p, t = is_blank(predicted, ready), is_blank(truth, ready)
     return F.when(p & t, "correctly_blank").when(p, "missed").when(t, "fabricated").when(match, "right").otherwise("wrong")
 
 

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fields import clean, compare, field_state, is_blank, rate
+from ..functions.fields import READ, clean, compare, field_state, is_blank, rate
 from ..registry import Field
 from ..session import ship
 
@@ -28,13 +28,17 @@ def pair(predicted: DataFrame, truth: DataFrame, key: str = "file") -> DataFrame
 
 def long_pairs(paired: DataFrame, fields: tuple[Field, ...], key: str = "file", keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, keep, field, state, exact, match, note): a row for each field that the truth declares."""
-    # Cleaned once, as columns, so that the comparisons stay small enough for generated code.
-    paired = paired.withColumns({f"_{side}_{f.name}": clean(F.col(f"{side}.{f.name}")) for f in fields for side in ("predicted", "truth")})
+    # Cleaned, read and compared once, as columns: an exploded array shares no parts, and large generated methods are never compiled.
+    sides = ("predicted", "truth")
+    paired = paired.withColumns({f"_{side}_{f.name}": clean(F.col(f"{side}.{f.name}")) for f in fields for side in sides})
+    paired = paired.withColumns({f"_{side}_{f.name}_v": READ[f.kind](F.col(f"_{side}_{f.name}"), ready=True) for f in fields if f.kind in READ for side in sides})
+    cells = {f.name: [F.col(f"_{side}_{f.name}") for side in sides] for f in fields}
+    values = {f.name: tuple(F.col(f"_{side}_{f.name}_v") for side in sides) for f in fields if f.kind in READ}
+    paired = paired.withColumns({f"_c_{f.name}": compare(f.kind, *cells[f.name], f.tolerance, f.threshold, ready=True, values=values.get(f.name)) for f in fields})
     rows = []
     for f in fields:
-        p, t = F.col(f"_predicted_{f.name}"), F.col(f"_truth_{f.name}")
-        c = compare(f.kind, p, t, f.tolerance, f.threshold, ready=True)
-        rows.append(F.struct(F.lit(f.name).alias("field"), field_state(p, t, c["match"]).alias("state"), c["exact"].alias("exact"), c["match"].alias("match"), c["note"].alias("note"), (is_blank(t)).alias("blank")))
+        (p, t), c = cells[f.name], F.col(f"_c_{f.name}")
+        rows.append(F.struct(F.lit(f.name).alias("field"), field_state(p, t, c["match"], ready=True).alias("state"), c["exact"].alias("exact"), c["match"].alias("match"), c["note"].alias("note"), is_blank(t, ready=True).alias("blank")))
     return paired.select(key, *keep, F.explode(F.array(*rows)).alias("r")).select(key, *keep, "r.*")
 
 
