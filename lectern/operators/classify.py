@@ -74,6 +74,15 @@ def per_class(matrix: DataFrame) -> DataFrame:
     )
 
 
+def totals(df: DataFrame, truth: str, predicted: str, runner_up: str | None = None) -> DataFrame:
+    """One row: documents, answered, abstained, accuracy (abstentions count against it), precision of answers, right answers in second place."""
+    t, p = F.col(truth), F.nullif(F.col(predicted), F.lit(""))
+    second = F.count_if(p.isNotNull() & (p != t) & (F.col(runner_up) == t)) if runner_up else F.lit(0).cast("bigint")
+    got = df.agg(F.count("*").alias("documents"), F.count(p).alias("answered"), F.count_if(p == t).alias("correct"), second.alias("right_answer_was_second"))
+    n, a, ok = F.col("documents"), F.col("answered"), F.col("correct")
+    return got.select("documents", "answered", (n - a).alias("abstained"), "correct", rate(ok, n).alias("accuracy"), rate(ok, a).alias("precision_answered"), "right_answer_was_second")
+
+
 def ocr_good(text: Column, layer: Column, confidence: Column, min_chars: int = 40, least: float = 0.80) -> Column:
     return (F.length(F.trim(text)) >= min_chars) & ((layer == "native") | (confidence >= least))
 

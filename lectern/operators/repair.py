@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.fields import rate, wilson
-from ..session import ship
+from ..session import ship, workspace
 from .measure import before, lookup
 
 ROUNDS, SEED, EPSILON = 4000, 20260828, 1e-3
@@ -205,3 +206,44 @@ def documents_needed(value: Column, cluster: Column, smallest: float) -> Column:
 
 def budget_curve(df: DataFrame, arm: str = "arm", step: str = "step", delta: str = "delta") -> DataFrame:
     return df.groupBy(arm, step).agg(F.count("*").alias("documents"), F.round(F.avg(delta), 4).alias("mean_delta"), rate(F.count_if(F.col(delta) > 0), F.count("*")).alias("improved_share"))
+
+
+def run_arm(
+    name: str, candidates: DataFrame, attempt: Callable[[DataFrame], DataFrame], review: Callable[[DataFrame], DataFrame], grade: Callable[[DataFrame], DataFrame],
+    budget: int = 1, iterative: bool = False,
+) -> DataFrame:
+    """Outcomes of an arm after 1 to `budget` attempts, as `score_arms` reads them; the arm is `name@k` where the budget is larger than 1.
+
+    candidates: (file, source, record, complaints, before, correct_before, fields, gates_before), one row a file.
+    attempt: (file, record, complaints) -> (file, produced, error), no record or no row where it fails.
+    review: (file, record) -> (file, complaints, gates).  grade: (file, record) -> (file, after, correct_after).
+    An iterative arm goes on from its own last answer and complaints about that one; any other gets the first record each time.
+    A failed attempt leaves the record as it was, and a document without a grade its score.  Each step is written, so no
+    answer is asked for twice, whatever is lost.
+    """
+    spark = candidates.sparkSession
+    folder, steps = workspace(spark), []
+    first = candidates.select("file", "record", "complaints")
+    now = first.withColumn("broke", F.lit(""))
+    for k in range(1, budget + 1):
+        tried = attempt(now.select("file", "record", "complaints")).select(F.col("file").alias("_f"), "produced", "error")
+        why = F.coalesce(F.nullif(F.col("error"), F.lit("")), F.lit("declined"))
+        made = now.join(tried, F.col("file") == F.col("_f"), "left").select(
+            "file", F.coalesce("produced", "record").alias("record"), F.when(F.col("broke") != "", F.col("broke")).when(F.col("produced").isNull(), why).otherwise("").alias("broke"),
+        )
+        made.write.parquet(f"{folder}/made{k}")
+        made = spark.read.parquet(f"{folder}/made{k}")
+        told = made.join(review(made.select("file", "record")).select(F.col("file").alias("_f"), "complaints", "gates"), F.col("file") == F.col("_f"), "left").drop("_f")
+        graded = grade(made.select("file", "record")).select(F.col("file").alias("_g"), "after", "correct_after")
+        rows = candidates.drop("record", "complaints").join(told.select(F.col("file").alias("_f"), "gates", "broke"), F.col("file") == F.col("_f")).join(graded, F.col("file") == F.col("_g"), "left")
+        lost = F.col("after").isNull()
+        steps.append(rows.select(
+            F.lit(f"{name}@{k}" if budget > 1 else name).alias("arm"), "file", "source", "before", F.coalesce("after", "before").alias("after"), "correct_before",
+            F.when(lost, F.col("correct_before")).otherwise(F.col("correct_after")).alias("correct_after"), "fields", "gates_before", F.coalesce("gates", F.lit(0)).alias("gates_after"),
+            F.lit(k).alias("attempts"), F.when(F.col("broke") != "", F.col("broke")).when(lost, "not gradable").otherwise("").alias("error"),
+        ))
+        now = told.select("file", "record", "complaints", "broke") if iterative else first.join(made.select("file", "broke"), "file")
+    out = steps[0]
+    for step in steps[1:]:
+        out = out.unionByName(step)
+    return out

@@ -21,10 +21,14 @@ def balance(df: DataFrame, groups: tuple[str, ...], order: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(rarest)).where("_k <= _cap").drop("_k", "_cap")  # one row
 
 
-def held_out(df: DataFrame, label: str, key: str, k: int, seed: str = "di") -> DataFrame:
-    """k rows of each label, the first by hash."""
-    w = Window.partitionBy(label).orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256), key)
-    return df.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k).drop("_k")
+def held_out(df: DataFrame, label: str, key: str, k: int, seed: str = "di", design: str | None = None) -> DataFrame:
+    """k rows of each label, the first by hash; with `design`, one of each design in turn, so that they spread over all."""
+    by = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)
+    if not design:
+        return df.withColumn("_k", F.row_number().over(Window.partitionBy(label).orderBy(by, key))).where(F.col("_k") <= k).drop("_k")
+    # Only the first k of a design can be taken, so the second window sorts no more than these.
+    depth = df.withColumn("_d", F.row_number().over(Window.partitionBy(label, design).orderBy(by, key))).where(F.col("_d") <= k)
+    return depth.withColumn("_k", F.row_number().over(Window.partitionBy(label).orderBy("_d", by, key))).where(F.col("_k") <= k).drop("_k", "_d")
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

@@ -114,3 +114,59 @@ def detection(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     out = rows.groupBy("tag").agg(*(F.count_if(F.col("what") == w).alias(w) for w in ("tp", "fp", "fn")))
     pr, rc = F.try_divide("tp", F.col("tp") + F.col("fp")), F.try_divide("tp", F.col("tp") + F.col("fn"))
     return out.select("tag", "tp", "fp", "fn", F.round(pr, 4).alias("precision"), F.round(rc, 4).alias("recall"), F.round(F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), 4).alias("f1"))
+
+
+def field_scores(rows: DataFrame, by: tuple[str, ...] = ("field",), copied: str | None = None, top: int = 3) -> DataFrame:
+    """Per field: counters, accuracy, presence (is there a value at all?) and the commonest notes of recoveries.
+
+    rows: long_pairs, and `copied`, a boolean column: the value is also that of another field (`contaminated`).
+    Notes are counted before they are gathered, so a list has one entry for each note's first word.
+    """
+    note, both = F.split_part("note", F.lit(" "), F.lit(1)), F.col("match") & F.col("blank")
+    spurious = F.col("state") == "fabricated"
+    recovered = F.col("match") & ~F.col("exact") & ~F.col("blank") & (note != "")
+    per = rows.groupBy(*by, F.when(recovered, note).alias("_note")).agg(
+        F.count("*").alias("n"), F.count_if("exact").alias("exact"), F.count_if("match").alias("match"), F.count_if(both).alias("blank"),
+        F.count_if(F.col("state") == "missed").alias("missing"), F.count_if(spurious).alias("spurious"),
+        F.count_if(spurious & F.coalesce(F.col(copied) if copied else F.lit(False), F.lit(False))).alias("contaminated"),
+    )
+    counters = ("n", "exact", "match", "blank", "missing", "spurious", "contaminated")
+    seen = F.array_sort(F.collect_list(F.when(F.col("_note").isNotNull(), F.struct((-F.col("n")).alias("m"), F.col("_note").alias("note")))))
+    out = per.groupBy(*by).agg(seen.alias("_seen"), *(F.sum(c).alias(c) for c in counters))
+    c = {x: F.col(x) for x in counters}
+    absent = c["blank"] + c["spurious"]
+    present, found, correct = c["n"] - absent, c["n"] - absent - c["missing"], c["match"] - c["blank"]
+    return out.select(
+        *by, *counters, (c["match"] - c["exact"]).alias("recovered_by_normalisation"), absent.alias("n_absent"), present.alias("n_present"),
+        rate(c["match"], c["n"]).alias("accuracy"), rate(correct, c["n"] - c["blank"]).alias("accuracy_nonblank"),
+        rate(c["blank"] + found, c["n"]).alias("presence_accuracy"), rate(correct, found + c["spurious"]).alias("precision_populated"), rate(correct, present).alias("recall_present"),
+        rate(c["spurious"], absent).alias("false_positive_rate"), rate(c["contaminated"], absent).alias("contamination_rate"),
+        F.transform(F.slice("_seen", 1, top), lambda x: F.struct(x["note"].alias("note"), (-x["m"]).alias("n"))).alias("notes"),
+    )
+
+
+def abstention(scores: DataFrame, by: tuple[str, ...] = ("field",)) -> DataFrame:
+    """The fields that some documents omit, those invented most often first."""
+    rows = scores.where("n_absent > 0").select(*by, "n_absent", "n_present", "presence_accuracy", "precision_populated", "false_positive_rate", "contamination_rate")
+    return rows.orderBy(F.coalesce("false_positive_rate", F.lit(0.0)).desc(), *by)
+
+
+def group_scores(truth: DataFrame, predicted: DataFrame, matched: DataFrame, key: str = "file", group: str = "line_items", by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of a repeating group in truth, predictions and `match_rows`' pairs: precision, recall, F1.
+
+    `by`: columns of the truth to report by.  Only counts are joined, one row for each document.
+    """
+    size = lambda df: F.coalesce(F.size(F.when(df[group].isNotNull(), df[group])), F.lit(0)).cast("bigint")
+    t = truth.select(F.col(key).alias("_k"), *by, size(truth).alias("t"))
+    p = predicted.select(F.col(key).alias("_p"), size(predicted).alias("p"))
+    m = matched.groupBy(F.col(key).alias("_m")).agg(F.count("*").alias("m"))
+    rows = t.join(p, F.col("_k") == F.col("_p"), "left").join(m, F.col("_k") == F.col("_m"), "left")
+    out = rows.groupBy(*by).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("t", "truth_rows"), ("p", "predicted_rows"), ("m", "matched_rows"))))
+    hit, t, p = F.col("matched_rows"), F.col("truth_rows"), F.col("predicted_rows")
+    return out.select(*by, "truth_rows", "predicted_rows", "matched_rows", rate(hit, p).alias("row_precision"), rate(hit, t).alias("row_recall"), rate(2 * hit, p + t).alias("row_f1"))
+
+
+def weights(fields: tuple[Field, ...], name: Column) -> Column:
+    """The declared weight of a field by its name; 1 for fields that are not declared."""
+    known = [x for f in fields for x in (F.lit(f.name), F.lit(f.weight))]
+    return F.coalesce(F.try_element_at(F.create_map(*known), name), F.lit(1.0)) if known else F.lit(1.0)

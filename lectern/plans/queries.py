@@ -12,6 +12,7 @@ from ..functions import fields as f
 from ..operators import classify, geometry, measure, provenance, readings, repair, route, rules, sampling, scoring, signals, split, validate
 from ..registry import TYPES, Field
 from ..session import workspace
+from ..sources import fixtures
 from ..streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -950,3 +951,108 @@ def stream_resume(spark, sf_dir):
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["route_score"](spark, sf_dir)
+
+
+# -- presence, groups, arms, fixtures ---------------------------------------
+
+_FIELD_SCORES = f"""{_PAIRS}, c AS (SELECT field, count(*) AS n, count(*) FILTER (exact) AS exact, count(*) FILTER (state IN ('right', 'correctly_blank')) AS match,
+  count(*) FILTER (state = 'correctly_blank') AS blank, count(*) FILTER (state = 'missed') AS missing, count(*) FILTER (state = 'fabricated') AS spurious,
+  count(*) FILTER (state = 'fabricated' AND file % 2 = 0) AS contaminated, count(*) FILTER (state = 'right' AND NOT exact) AS k FROM pairs GROUP BY field),
+s AS (SELECT *, match - exact AS recovered_by_normalisation, blank + spurious AS n_absent, n - blank - spurious AS n_present, round(match / n::DOUBLE, 4) AS accuracy,
+  round((match - blank) / nullif(n - blank, 0)::DOUBLE, 4) AS accuracy_nonblank, round((n - spurious - missing) / n::DOUBLE, 4) AS presence_accuracy,
+  round((match - blank) / nullif(n - blank - missing, 0)::DOUBLE, 4) AS precision_populated, round((match - blank) / nullif(n - blank - spurious, 0)::DOUBLE, 4) AS recall_present,
+  round(spurious / nullif(blank + spurious, 0)::DOUBLE, 4) AS false_positive_rate, round(contaminated / nullif(blank + spurious, 0)::DOUBLE, 4) AS contamination_rate FROM c)"""
+
+
+def _field_scores(spark, sf_dir):
+    return scoring.field_scores(_pairs(spark, sf_dir).withColumn("copied", F.col("file") % 2 == 0), copied="copied")
+
+
+@query(f"""WITH {_FIELD_SCORES} SELECT * EXCLUDE (k), CASE WHEN k = 0 THEN '' ELSE CASE field WHEN 'status' THEN 'case/separators ' WHEN 'price' THEN 'within ' ELSE 'date ' END || k END AS notes FROM s""")
+def field_scores(spark, sf_dir):
+    """Counters, presence and notes of each field."""
+    return _field_scores(spark, sf_dir).withColumn("notes", F.array_join(F.transform("notes", lambda x: F.concat_ws(" ", x["note"], x["n"])), ", "))
+
+
+@query(f"WITH {_FIELD_SCORES} SELECT field, n_absent, n_present, presence_accuracy, precision_populated, false_positive_rate, contamination_rate FROM s WHERE n_absent > 0")
+def abstention(spark, sf_dir):
+    """Fields that some documents omit."""
+    return scoring.abstention(_field_scores(spark, sf_dir))
+
+
+@query("""WITH x AS (SELECT l_orderkey AS k, count(*) AS t FROM lineitem GROUP BY 1), y AS (SELECT k % 2 AS half, t, CASE WHEN k % 3 = 0 THEN least(t, 2) ELSE t END AS p, (k % 4 = 0)::INT AS spoilt FROM x),
+g AS (SELECT half, sum(t)::BIGINT AS truth_rows, sum(p)::BIGINT AS predicted_rows, sum(p - spoilt)::BIGINT AS matched_rows FROM y GROUP BY half)
+SELECT *, round(matched_rows / predicted_rows::DOUBLE, 4) AS row_precision, round(matched_rows / truth_rows::DOUBLE, 4) AS row_recall, round(2 * matched_rows / (truth_rows + predicted_rows)::DOUBLE, 4) AS row_f1 FROM g""")
+def group_scores(spark, sf_dir):
+    """Lines of an order beside a copy that lost some and spoilt one."""
+    as_text = lambda c: F.transform(c, lambda x: F.struct(*(x[n].cast("string").alias(n) for n in ("description", "quantity", "unit_price", "amount"))))
+    truth = bills(spark, sf_dir).select(F.col("k").alias("file"), (F.col("k") % 2).alias("half"), as_text(F.col("line_items")).alias("line_items"))
+    k = F.col("file")
+    kept = F.when(k % 3 == 0, F.slice("line_items", 1, 2)).otherwise(F.col("line_items"))
+    gone = lambda r: r.withField("description", F.lit("none such")).withField("quantity", F.lit("")).withField("unit_price", F.lit("")).withField("amount", F.lit(""))
+    predicted = truth.select("file", F.transform(kept, lambda r, i: F.when((k % 4 == 0) & (i == 0), gone(r)).otherwise(r)).alias("line_items"))
+    fields = tuple(Field(x.name, "identifier" if x.name == "description" else x.kind, tolerance=x.tolerance) for x in TYPES["invoice"].groups[0].fields)
+    return scoring.group_scores(truth, predicted, scoring.match_rows(truth, predicted, fields), by=("half",))
+
+
+@query(f"""WITH {_HITS}, g AS (SELECT count(*) AS documents, count(guess) AS answered, count(*) FILTER (guess = lang) AS correct FROM k)
+SELECT documents, answered, documents - answered AS abstained, correct, round(correct / documents::DOUBLE, 4) AS accuracy, round(correct / nullif(answered, 0)::DOUBLE, 4) AS precision_answered FROM g""")
+def classification_totals(spark, sf_dir):
+    return classify.totals(_guesses(spark, sf_dir).withColumn("g", F.col("c.doc_type")), "lang", "g").drop("right_answer_was_second")
+
+
+_SHARES = [f"SELECT '{arm}@{k}' AS arm, file, least(m, {gain}) AS gain, m, file % 7 = 0 AS broke FROM c" for arm, gains in (("guided", (1, 2)), ("rerun", (1, 1))) for k, gain in enumerate(gains, 1)]
+
+
+@query(f"""WITH c AS (SELECT o_orderkey AS file, CASE WHEN o_orderkey % 12 = 0 THEN 2 ELSE 1 END AS m FROM orders WHERE o_orderkey % 4 = 0), a AS ({" UNION ALL ".join(_SHARES)})
+SELECT arm, count(*) AS documents, count(*) FILTER (broke) AS failed, count(*) FILTER (NOT broke AND gain = m) AS improved, count(*) FILTER (NOT broke AND gain = m) AS gates_clear FROM a GROUP BY arm""")
+def repair_loop(spark, sf_dir):
+    """Two arms that take one stray letter away at a time; one goes on from its own answer."""
+    o = _read(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    stray = F.when(k % 12 == 0, "xx").otherwise("x")
+    truth = o.select(k.alias("file"), F.col("o_orderstatus").alias("truth"))
+    told = lambda c: F.when(c.startswith("x"), F.array(F.lit("stray letter"))).otherwise(F.array().cast("array<string>"))
+    record = F.concat(stray, F.col("o_orderstatus"))
+    candidates = o.where(k % 4 == 0).select(
+        k.alias("file"), F.col("o_custkey").cast("string").alias("source"), record.alias("record"), told(record).alias("complaints"), F.lit(0.0).alias("before"),
+        F.lit(0).alias("correct_before"), F.lit(1).alias("fields"), F.lit(1).alias("gates_before"),
+    )
+
+    def attempt(df):
+        down = F.col("file") % 7 == 0
+        fixed = F.when(F.size("complaints") > 0, F.substr("record", F.lit(2))).otherwise(F.col("record"))
+        return df.select("file", F.when(~down, fixed).alias("produced"), F.when(down, "timeout: no answer").alias("error"))
+
+    def review(df):
+        return df.select("file", told(F.col("record")).alias("complaints"), F.size(told(F.col("record"))).alias("gates"))
+
+    def grade(df):
+        ok = F.col("record") == F.col("truth")
+        return df.join(truth, "file").select("file", ok.cast("double").alias("after"), ok.cast("int").alias("correct_after"))
+
+    guided, rerun = (repair.run_arm(name, candidates, attempt, review, grade, 2, iterative) for name, iterative in (("guided", True), ("rerun", False)))
+    return repair.score_arms(guided.unionByName(rerun)).select("arm", "documents", "failed", "improved", "gates_clear")
+
+
+@query("""WITH d AS (SELECT doc_id, lang, source, sha256('di:' || doc_id) AS h FROM documents), x AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY h, doc_id) AS d FROM d),
+y AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY d, h, doc_id) AS k FROM x) SELECT doc_id, lang, source FROM y WHERE k <= 12""")
+def heldout_designs(spark, sf_dir):
+    """Twelve documents of each language, spread over the sources."""
+    return sampling.held_out(_read(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "lang", "doc_id", 12, design="source")
+
+
+@query()
+def defects_found(spark, sf_dir):
+    """Made-up invoices with planted defects: how many of each code are planted, and found."""
+    made = fixtures.inject(fixtures.invoices(spark, 2000))
+    found = validate.findings(validate.check(made, "invoice"), "file").select("file", "code")
+    planted = made.select("file", F.explode("irregularities").alias("code"))
+    return validate.score(found, planted, planted.select("code").distinct())
+
+
+@query()
+def bundle_plan(spark, sf_dir):
+    """Documents packed into bundles, with the pages that each takes."""
+    pool = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file"), F.col("lang").alias("doc_type"), (F.col("doc_id") % 3 + 1).alias("pages"))
+    return fixtures.bundles(pool)
