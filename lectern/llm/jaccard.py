@@ -36,6 +36,8 @@ from ._text import LOWER, buffers, chunks, mix, shingles, words
 #: Members of a block, and shingles counted at once.
 BLOCK = 384
 COLUMNS = 2048
+#: Parts of the occurrences of one shingle.
+SALTS = 16
 
 
 def sets(data: np.ndarray, off: np.ndarray, k: int):
@@ -185,10 +187,13 @@ def clusters(able: DataFrame) -> DataFrame:
                     [pa.array(np.frombuffer(data.tobytes(), np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), np.diff(off) // 8))], ["s", "class"]
                 )
 
-    rows = able.select("class", "prefix").mapInArrow(spread, "s bigint, class bigint")
-    least = rows.groupBy("s").agg(F.min("class").alias("v"), F.count("*").alias("c")).where("c > 1").select("s", "v")
-    edges = rows.join(least, "s").where("class <> v").select(F.col("class").alias("u"), "v").distinct()
-    return components(able.sparkSession, edges)
+    rows = able.select("class", "prefix").mapInArrow(spread, "s bigint, class bigint").withColumn("salt", F.pmod(F.xxhash64("class", F.lit(2)), F.lit(SALTS)))
+    # A shingle that many share is joined in parts, by the least of each, and these by the least of all.
+    part = rows.groupBy("s", "salt").agg(F.min("class").alias("v"))
+    least = part.groupBy("s").agg(F.min("v").alias("w"))
+    near = rows.join(part, ["s", "salt"]).where("class <> v").select(F.col("class").alias("u"), "v")
+    far = part.join(least, "s").where("v <> w").select(F.col("v").alias("u"), F.col("w").alias("v"))
+    return components(able.sparkSession, near.union(far).distinct())
 
 
 def overlaps(mine: np.ndarray, his: np.ndarray | None, a: list[np.ndarray], b: list[np.ndarray] | None) -> np.ndarray:
