@@ -1,11 +1,12 @@
 """Operator 3: mixing sources to target weights by Pfair scheduling.
 
-Weights become whole shares of a hyperperiod of `period` slots.  Block k
-of a source with share q is released at floor(k * period / q) and due at
-ceil((k + 1) * period / q); the earliest deadline first fills every slot and,
-as the shares sum to the period, misses none, so after any number of slots
-each source is less than one block from its target.  The schedule repeats
-after one hyperperiod, which bounds what the driver computes by `period` alone.
+Weights are taken as they are, as exact fractions.  Block k of a source with
+weight w (of a sum of 1) is released at floor(k / w) and due at
+ceil((k + 1) / w); the earliest deadline first fills every slot and, as the
+weights sum to 1, misses none, so after any number of slots each source is less
+than one block from its target.  The schedule repeats after the weights' common
+denominator; the driver computes that many slots, or as many as the mixture has
+if those are fewer (some 20 bytes each; none is computed for a row).
 
 A source's rows, in hash order, form its blocks of `block` rows.  The mixture
 runs until every row has been placed once; smaller sources start over meanwhile
@@ -13,17 +14,21 @@ runs until every row has been placed once; smaller sources start over meanwhile
 that every block is full.
 
 A null source is a source of its own.  A source without weight (or with one of
-zero or less) gets the least share.  An empty table gives an empty result; rows
+zero or less) has no place in the mixture: its blocks follow after the last
+slot of the others, so that its rows are not lost either.  An empty table gives an empty result; rows
 with equal hashes are ordered by id; repeated rows are placed separately.
 """
 
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections.abc import Mapping
 from fractions import Fraction
-from math import ceil, floor
+from math import floor, gcd, lcm
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -52,26 +57,49 @@ def shares(weights: Mapping[str | None, float], period: int = PERIOD) -> dict[st
     return out
 
 
-def schedule(share: Mapping[str | None, int]) -> list[tuple[str | None, int]]:
-    """(source, block) of each slot of one hyperperiod, by earliest deadline among the released blocks."""
-    period = sum(share.values())
-    names = list(share)
-    waiting = [(0, ceil(Fraction(period, share[s])), i, 0) for i, s in enumerate(names)]
+def exact(weights: Mapping[str | None, float]) -> dict[str | None, int]:
+    """The weights above zero as whole numbers of the same ratios, without a common factor; equal ones if none is above zero."""
+    names = sorted(weights, key=lambda s: (s is not None, s or ""))
+    good = {s: Fraction(weights[s]) for s in names if weights[s] and weights[s] > 0} or dict.fromkeys(names, Fraction(1))
+    common = lcm(*(w.denominator for w in good.values()))
+    whole = {s: int(w * common) for s, w in good.items()}
+    least = gcd(*whole.values())
+    return {s: w // least for s, w in whole.items()}
+
+
+def _slots(share: Mapping[str | None, int], need: Mapping[str | None, int] | None = None) -> tuple[array, array]:
+    """Source (by its place in share) and block of each slot by earliest deadline among the released blocks, for
+    one period or, if that is shorter, until each source has placed as many blocks as it needs."""
+    period, names = sum(share.values()), list(share)
+    q = [share[s] for s in names]
+    left = [need[s] if need else q[i] for i, s in enumerate(names)]
+    open_sources = sum(n > 0 for n in left)
+    waiting = [(0, -(-period // w), i, 0) for i, w in enumerate(q)]
     heapq.heapify(waiting)
     ready: list[tuple[int, int, int]] = []
-    out = []
-    for slot in range(period):
+    sources, blocks = array("i"), array("q")
+    slot = 0
+    while slot < period and open_sources:
         while waiting and waiting[0][0] <= slot:
             _, due, i, k = heapq.heappop(waiting)
             heapq.heappush(ready, (due, i, k))
         due, i, k = heapq.heappop(ready)
         if due <= slot:
             raise AssertionError("a block missed its deadline")
-        out.append((names[i], k))
-        q = share[names[i]]
-        if k + 1 < q:
-            heapq.heappush(waiting, (floor(Fraction((k + 1) * period, q)), ceil(Fraction((k + 2) * period, q)), i, k + 1))
-    return out
+        sources.append(i)
+        blocks.append(k)
+        left[i] -= 1
+        open_sources -= left[i] == 0
+        if k + 1 < q[i]:
+            heapq.heappush(waiting, ((k + 1) * period // q[i], -(-(k + 2) * period // q[i]), i, k + 1))
+        slot += 1
+    return sources, blocks
+
+
+def schedule(share: Mapping[str | None, int]) -> list[tuple[str | None, int]]:
+    """(source, block) of each slot of one period."""
+    names = list(share)
+    return [(names[i], k) for i, k in zip(*_slots(share), strict=True)]
 
 
 def flattened(counts: Mapping[str | None, int], power: float = 0.7) -> dict[str | None, float]:
@@ -80,34 +108,45 @@ def flattened(counts: Mapping[str | None, int], power: float = 0.7) -> dict[str
 
 
 def mix(df: DataFrame, weights: Mapping[str | None, float] | None = None, source: str = "source", key: str = "doc_id",
-        block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+        block: int = BLOCK, period: int | None = None) -> DataFrame:
     """The rows of df with mix_epoch, mix_block, mix_slot and mix_position.
 
     mix_position orders the mixture: slot by slot, and by place inside a block.
     Columns of df with these names are replaced.
     Sources are few (their counts and shares live on the driver); rows are not
-    moved there.
+    moved there.  With a `period`, the weights are rounded to shares() of it first.
     """
     spark = df.sparkSession
     counts = {r[0]: r[1] for r in df.groupBy(df[source].alias("s")).agg(F.count("*").alias("n")).collect()}
     if not counts:
         return df.select("*", *(F.lit(0).cast("bigint").alias(f"mix_{c}") for c in ("epoch", "block", "slot", "position")))
-    share = shares({s: (weights or {}).get(s, 0) for s in counts} if weights else flattened(counts), period)
-    period = sum(share.values())
-    plan = schedule(share)
-    # The slot after which every source has placed each of its rows.
-    last = max(_slot_of(plan, share, s, -(-n // block) - 1) for s, n in counts.items()) + 1
-    placed = {s: last // period * share[s] + sum(1 for x, _ in plan[: last % period] if x == s) for s in counts}
-
-    slots = spark.createDataFrame([(s, k, i) for i, (s, k) in enumerate(plan)], "mix_s string, mix_k int, mix_i int")
+    given = {s: (weights or {}).get(s, 0) for s in counts} if weights else flattened(counts)
+    share = shares(given, period) if period else exact(given)
+    need = {s: -(-n // block) for s, n in counts.items()}
+    slots, table, first = [], [], 0
+    # Sources that have no share come after the others, in equal ones.
+    for share in (share, {s: 1 for s in counts if s not in share}):
+        names, period = list(share), sum(share.values())
+        sources, blocks = (np.asarray(x, np.int64) for x in _slots(share, need))
+        ends = np.flatnonzero(blocks == np.asarray([(need[s] - 1) % share[s] for s in names], np.int64)[sources])
+        # The slot after which every source has placed each of its rows.
+        last = max(((need[s] - 1) // share[s] * period + int(at) + 1 for s, at in ((names[sources[at]], at) for at in ends)), default=0)
+        many = np.bincount(sources[: last % period] if last else sources, minlength=len(names)) if names else ()
+        placed = {s: last // period * share[s] + int(n) for s, n in zip(names, many, strict=True)}
+        # A schedule that ends before its period never repeats.
+        again = len(sources) == period
+        slots.append((sources + len(table), blocks, np.arange(len(sources))))
+        table += [(len(table) + i, s, counts[s], share[s] if again else placed[s], first, period if again else len(sources), placed[s] * block, max(1, -(-counts[s] // RANK_ROWS))) for i, s in enumerate(names)]
+        first += last
+
+    slots = spark.createDataFrame(pa.table([np.concatenate(x) for x in zip(*slots, strict=True)], ["t3", "k3", "mix_i"]))
     table = spark.createDataFrame(
-        [(s, counts[s], share[s], placed[s] * block, max(1, -(-counts[s] // RANK_ROWS))) for s in counts],
-        "t_s string, mix_n bigint, mix_q int, mix_rows bigint, mix_buckets bigint",
+        table, "mix_t bigint, t_s string, mix_n bigint, mix_q bigint, mix_first bigint, mix_period bigint, mix_rows bigint, mix_buckets bigint",
     )
     added = ("mix_epoch", "mix_block", "mix_slot", "mix_position")
     own = [c for c in df.columns if c not in added]
     rows = df.select(F.struct(*[df[c] for c in own]).alias("mix_row"), df[source].cast("string").alias("mix_s"), df[key].cast("string").alias("mix_key"))
-    # Both tables are bounded by the period and the number of sources.
+    # Both tables are small: a row for each source, and one for each slot of up to `block` rows.
     rows = rows.join(F.broadcast(table), F.col("mix_s").eqNullSafe(F.col("t_s"))).drop("t_s")
     rows = rows.withColumn("mix_h", F.xxhash64("mix_key"))
     # A place by hash: the range of the hash cuts a source into buckets of about RANK_ROWS rows.
@@ -125,19 +164,13 @@ def mix(df: DataFrame, weights: Mapping[str | None, float] | None = None, source
     rows = rows.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), times))).withColumn("mix_epoch", F.col("mix_epoch").cast("bigint"))
     place = F.col("mix_epoch") * F.col("mix_n") + F.col("mix_at")
     rows = rows.withColumn("mix_block", F.floor(place / F.lit(block)).cast("bigint")).withColumn("mix_in", place % block)
-    rows = rows.withColumn("mix_k", (F.col("mix_block") % F.col("mix_q")).cast("int"))
-    slots = F.broadcast(slots.withColumnRenamed("mix_s", "s3").withColumnRenamed("mix_k", "k3"))
-    rows = rows.join(slots, F.col("mix_s").eqNullSafe(F.col("s3")) & (F.col("mix_k") == F.col("k3"))).drop("s3", "k3")
-    rows = rows.withColumn("mix_slot", F.floor(F.col("mix_block") / F.col("mix_q")).cast("bigint") * period + F.col("mix_i"))
+    rows = rows.withColumn("mix_k", F.col("mix_block") % F.col("mix_q"))
+    rows = rows.join(F.broadcast(slots), (F.col("mix_t") == F.col("t3")) & (F.col("mix_k") == F.col("k3"))).drop("t3", "k3")
+    rows = rows.withColumn("mix_slot", F.col("mix_first") + F.floor(F.col("mix_block") / F.col("mix_q")).cast("bigint") * F.col("mix_period") + F.col("mix_i"))
     rows = rows.withColumn("mix_position", F.col("mix_slot") * block + F.col("mix_in"))
     return rows.select(*[F.col("mix_row")[c].alias(c) for c in own], *added)
 
 
-def _slot_of(plan, share, source, k: int) -> int:
-    q = share[source]
-    return k // q * len(plan) + next(i for i, (s, j) in enumerate(plan) if s == source and j == k % q)
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
     return mix(docs)

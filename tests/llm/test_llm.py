@@ -291,6 +291,34 @@ def test_mixing(docs, spark):
     assert mixing.mix(rows.limit(0)).count() == 0
 
 
+def off(slots, weights):
+    """The largest distance of a source from its target, in blocks, after any number of slots."""
+    total, seen, most = sum(weights.values()), collections.Counter(), 0
+    for done, s in enumerate(slots, 1):
+        seen[s] += 1
+        most = max(most, *(abs(seen[x] - done * w / total) for x, w in weights.items()))
+    return most
+
+
+def test_mixing_keeps_to_the_weights_given(spark):
+    """Many sources and uneven weights, none of them whole shares of some period; one source has none."""
+    sizes = {f"s{i}": 7 + i % 5 for i in range(60)} | {"big": 900, "none": 20}
+    weights = mixing.flattened({s: n for s, n in sizes.items() if s != "none"})
+    rows = spark.createDataFrame([(i, s) for s, n in sizes.items() for i in range(n)], "doc_id bigint, source string")
+    got = mixing.mix(rows, weights | {"none": 0}, block=2).collect()
+    slots = dict(sorted({(r.mix_slot, r.source) for r in got}))
+    assert list(slots) == list(range(len(slots))) and len(got) == 2 * len(slots)
+    assert {(r.doc_id, r.source) for r in got} == {(r.doc_id, r.source) for r in rows.collect()}
+    inside = [s for s in slots.values() if s != "none"]
+    assert list(slots.values())[-10:] == ["none"] * 10 and "none" not in inside and len(inside) == len(slots) - 10
+    assert off(inside, weights) < 1
+    # More sources than slots of the old period: shares are not all the same.
+    weights = {f"s{i}": 1 + i % 3 for i in range(1200)}
+    share = mixing.exact(weights)
+    assert share == weights and off([s for s, _ in mixing.schedule(share)[:500]], weights) < 1
+    assert mixing.exact({"a": 0.5, "b": 0.25, "c": 0, "d": None}) == {"a": 2, "b": 1} and mixing.exact({"a": 0}) == {"a": 1}
+
+
 def test_chat_folds_events(spark):
     e = [(1, 1, 0, "message", "user", "hi"), (1, 2, 1, "delta", "assistant", "he"), (1, 3, 1, "delta", "assistant", "llo"), (1, 4, 2, "message", "user", "<|im_end|>"),
          (1, 5, 1, "regenerate", "assistant", "new"), (1, 6, 1, "delta", "assistant", "er"), (1, 7, 0, "edit", "user", "hey"), (2, 1, 0, None, None, None)]
