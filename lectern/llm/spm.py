@@ -5,7 +5,8 @@ character map (a double-array trie); each normalised unit remembers which bytes
 of the text it came from.  The normalised text is cut where no piece of the
 vocabulary can reach across (before a run of space marks), every distinct cut
 is segmented once per worker, and the pieces are projected back through the
-alignment to spans of the original bytes.
+alignment to spans of the original bytes.  A model without a map that keeps all
+spaces has its alignment filled by a rule over arrays.
 
 Null text is empty: no ids, empty spans.  Extra columns are kept or ignored by
 the caller; repeated rows give repeated results.
@@ -107,12 +108,27 @@ class Encoder:
         self.first, self.strip = True, self.prefix or self.squeeze
         inner = any(SPACE in p.piece.lstrip(SPACE) for p in proto.pieces if p.type in (kinds.NORMAL, kinds.USER_DEFINED))
         self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if not inner else r"[\s\S]+")
-        self.cache: dict[str, tuple[int, str, str, tuple[int, ...]]] = {}
+        self.cache: dict[str, tuple[int, str, str, tuple[int, ...], bytes]] = {}
 
     # -- normalisation -----------------------------------------------------
 
     def normalise(self, text: str) -> tuple[str, np.ndarray]:
         """Normalised text and, for each of its UTF-8 bytes and its end, the byte of the text it stands at."""
+        return self._aligned(text) if self.identity else self._walk(text)
+
+    def _aligned(self, text: str) -> tuple[str, np.ndarray]:
+        """The same without a map: spaces become marks, and each byte stands at the first one of its character."""
+        if not text:
+            return "", np.zeros(1, np.int64)
+        data = np.frombuffer(text.encode(), np.uint8)
+        at = np.arange(len(data))
+        if not text.isascii():
+            at = np.maximum.accumulate(np.where((data & 0xC0) != 0x80, at, 0))
+        mark = len(SPACE.encode())
+        at = np.repeat(at, np.where(data == 32, mark, 1))
+        return self._fast(text), np.concatenate([np.zeros(mark * self.prefix, np.int64), at, [len(data)]])
+
+    def _walk(self, text: str) -> tuple[str, np.ndarray]:
         data = text.encode()
         out, source = bytearray(), []
         at, end = 0, len(data)
@@ -165,8 +181,13 @@ class Encoder:
 
     # -- segmentation ------------------------------------------------------
 
-    def _entry(self, cut: str, ids: list[int]) -> tuple[int, str, str, tuple[int, ...]]:
-        return len(ids), ",".join(map(str, ids)), self._surface(ids), tuple(ids)
+    def _entry(self, cut: str, ids: list[int]) -> tuple[int, str, str, tuple[int, ...], bytes]:
+        if self.unknown.isdisjoint(ids):
+            sizes = [1 if i in self.byte else len(self.pieces[i].encode()) for i in ids]
+        else:
+            # An unknown piece is as long as what it stands for.
+            sizes = [len(p.surface.encode()) for p in self.segmenter.encode(cut, out_type="immutable_proto").pieces]
+        return len(ids), ",".join(map(str, ids)), self._surface(ids), tuple(ids), np.asarray(sizes, np.uint32).tobytes()
 
     def _surface(self, ids) -> str:
         out, run = [], bytearray()
@@ -184,7 +205,7 @@ class Encoder:
             out.append(run.decode(errors="replace"))
         return "".join(out)
 
-    def cuts(self, normalised: list[str]) -> list[list[tuple[int, str, str, tuple[int, ...]]]]:
+    def cuts(self, normalised: list[str]) -> list[list[tuple[int, str, str, tuple[int, ...], bytes]]]:
         """Segmented cuts of each normalised text; distinct cuts are segmented once."""
         parts = [self.cut.findall(x) for x in normalised]
         if len(self.cache) > CACHE_ENTRIES:
@@ -206,25 +227,33 @@ class Encoder:
     def spans(self, text: str | None) -> list[tuple[int, int, int]]:
         """(id, first byte, byte after the last) of each piece, in bytes of the text."""
         normalised, source = self.normalise(text or "")
-        out, at = [], 0
-        ids = [i for e in self.cuts([normalised])[0] for i in e[3]]
-        for i in ids:
-            n = 1 if i in self.byte else len(self.pieces[i].encode())
-            out.append((i, int(source[at]), int(source[at + n])))
-            at += n
-        return out
+        entries = self.cuts([normalised])[0]
+        starts, ends = self._project(entries, source)
+        return list(zip([i for e in entries for i in e[3]], starts.tolist(), ends.tolist(), strict=True))
+
+    @staticmethod
+    def _project(entries, source: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First byte and byte after the last of each piece of the segmented cuts, in bytes of the text."""
+        sizes = np.frombuffer(b"".join([e[4] for e in entries]), np.uint32)
+        at = np.zeros(len(sizes) + 1, np.int64)
+        np.cumsum(sizes, out=at[1:])
+        if at[-1] != len(source) - 1:
+            raise AssertionError("the pieces do not cover the normalised text")
+        at = source[at]
+        return at[:-1], at[1:]
 
     def decode(self, ids) -> str:
         text = self._surface(ids)
         return text[1:] if self.strip and text[:1] == " " and len(ids) and ids[0] not in self.byte else text
 
-    def digests(self, texts: list[str]):
-        """(number of ids, ids joined by commas, decoded text) of each text."""
-        for entries in self.cuts([self._fast(x) for x in texts]):
+    def digests(self, texts: list[str], spans: bool = False):
+        """(number of ids, ids joined by commas, decoded text, first bytes and bytes after the last or None) of each text."""
+        found = [self.normalise(x) if spans else (self._fast(x), None) for x in texts]
+        for entries, (_, source) in zip(self.cuts([x for x, _ in found]), found, strict=True):
             decoded = "".join([e[2] for e in entries])
             if self.strip and decoded[:1] == " " and entries[0][3][0] not in self.byte:
                 decoded = decoded[1:]
-            yield sum([e[0] for e in entries]), ",".join([e[1] for e in entries]), decoded
+            yield sum([e[0] for e in entries]), ",".join([e[1] for e in entries]), decoded, self._project(entries, source) if spans else None
 
 
 @lru_cache(maxsize=2)
@@ -269,25 +298,31 @@ def decode(df: DataFrame, path: str | None = None, ids: str = "ids", key: str =
     return df.select(df[key], df[ids]).mapInArrow(run, f"key {kind}, text string").withColumnRenamed("key", key)
 
 
-def digest(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+def digest(df: DataFrame, path: str | None = None, spans: bool = False) -> DataFrame:
+    """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, spans_sha256: of all starts,
+    then all ends, as little-endian 64-bit numbers."""
     path = path or default_model()
     arrow(df.sparkSession)
 
     def run(batches):
         model = encoder(path)
         for b in batches:
-            n, ids, back = [], [], []
+            n, ids, back, where = [], [], [], []
             texts = [x or "" for x in b.column(1).to_pylist()]
             for lo in range(0, len(texts), 64):
-                for count, joined, decoded in model.digests(texts[lo : lo + 64]):
+                for count, joined, decoded, at in model.digests(texts[lo : lo + 64], spans):
                     n.append(count)
                     ids.append(hashlib.sha256(joined.encode()).hexdigest())
                     back.append(hashlib.sha256(decoded.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    if spans:
+                        where.append(hashlib.sha256(b"".join(x.astype("<i8").tobytes() for x in at)).hexdigest())
+            cols = [b.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.string()) for x in (ids, back, where))]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"]
+            yield pa.RecordBatch.from_arrays(cols[: 4 + spans], names[: 4 + spans])
 
-    return df.select(df["doc_id"], df["text"]).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    extra = ", spans_sha256 string" if spans else ""
+    return df.select(df["doc_id"], df["text"]).mapInArrow(run, f"doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string{extra}")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return digest(spark.read.parquet(f"{sf_dir}/documents.parquet"), spans=True)

@@ -126,6 +126,34 @@ def test_sentencepiece_spans(docs):
     assert back == rows
 
 
+def test_sentencepiece_query_has_the_spans_of_every_document(spark, sf_dir):
+    """Spans by characters of the text, found without the alignment."""
+    model = spm.encoder(spm.default_model())
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = registered.queries()["op7_sentencepiece"](spark, sf_dir).collect()
+    assert {r.doc_id for r in rows} == set(texts)
+
+    def slow(text):
+        # The first byte of the character at or before each byte of the normalised text.
+        source = [0] * (3 * model.prefix if text else 0)
+        at = 0
+        for c in text:
+            source += [at] * (3 if c == " " else len(c.encode()))
+            at += len(c.encode())
+        source.append(at)
+        place, out = 0, []
+        for i in model.encode(text):
+            n = 1 if i in model.byte else len(model.pieces[i].encode())
+            out.append((source[place], source[place + n]))
+            place += n
+        return hashlib.sha256(b"".join(struct.pack(f"<{len(out)}q", *(x[j] for x in out)) for j in (0, 1))).hexdigest()
+
+    assert all(r.spans_sha256 == slow(texts[r.doc_id]) for r in rows)
+    for text in ("", " ", "a  b ", " ä▁ 中文 😀\n", "\t x"):
+        (a, x), (b, y) = model._aligned(text), model._walk(text)
+        assert a == b and x.tolist() == y.tolist()
+
+
 def test_character_map_takes_the_longest_prefix():
     """A trie of two keys, built by hand: `a` to `1`, `ab` to `2`."""
     units = np.zeros(512, np.uint32)
