@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 
 def normalize_boxes(words: Column, width: Column, height: Column, most: int = 512) -> Column:
     """Boxes of page 1 on a 0-1000 grid, corners in order, blank and empty ones dropped, the first `most`."""
@@ -35,3 +37,49 @@ def nearest(queries: DataFrame, against: DataFrame, key: str, vector: str, label
     q, a = queries.select(F.col(key).alias("q"), F.col(vector).alias("qv"), F.col(label).alias("ql")), against.select(F.col(key).alias("k"), F.col(vector).alias("kv"), F.col(label).alias("kl"))
     both = q.join(F.broadcast(a), F.col("q") != F.col("k")).select("q", "ql", F.struct(F.round(cosine(F.col("qv"), F.col("kv")), 6).alias("s"), (-F.col("k")).alias("k"), F.col("kl").alias("l")).alias("b"))
     return both.groupBy("q", "ql").agg(F.max("b").alias("b")).select(F.col("q").alias(key), F.col("ql").alias("label"), (-F.col("b.k")).alias("nearest"), F.col("b.l").alias("nearest_label"))
+
+
+def nearest_of_all(rows: DataFrame, key: str, vector: str, label: str, block: int = 1024) -> DataFrame:
+    """As nearest(), but against all rows: every pair of blocks of about `block` rows is compared, so time grows with the square of the rows."""
+    ship(rows.sparkSession)
+    blocks = max(1, -(-rows.count() // block))
+    one = lambda side: rows.groupBy(F.pmod(F.xxhash64(key), F.lit(blocks)).alias(f"{side}b")).agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), F.col(label).alias("l"))).alias(side)).select(side)
+
+    def table(found):
+        """Unit vectors by row, with their length, 0 where there is no direction."""
+        import numpy as np
+
+        vectors = [x if x and None not in x else [] for x in found.field("v").to_pylist()]
+        size = np.asarray([len(x) for x in vectors])
+        out = np.zeros((len(vectors), max(1, size.max())))
+        for i, x in enumerate(vectors):
+            out[i, : len(x)] = x
+        norm = np.sqrt((out * out).sum(axis=1))
+        size[~(norm > 0)] = 0
+        return out / np.where(norm > 0, norm, 1)[:, None], size
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                q, a = (c.slice(i, 1).flatten() for c in batch.columns)
+                # The least key first among equals.
+                a = a.take(pa.array(np.argsort(a.field("k").to_numpy(zero_copy_only=False), kind="stable")))
+                (qv, qn), (av, an) = table(q), table(a)
+                width = max(qv.shape[1], av.shape[1])
+                qv, av = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (qv, av))
+                score = np.round(qv @ av.T, 6)
+                score[(qn[:, None] != an) | (qn[:, None] == 0)] = -2.0
+                score[q.field("k").to_numpy(zero_copy_only=False)[:, None] == a.field("k").to_numpy(zero_copy_only=False)] = -3.0
+                best = score.argmax(axis=1)
+                kept = np.flatnonzero(score.max(axis=1) > -3.0)
+                at = pa.array(best[kept])
+                q = q.take(pa.array(kept))
+                yield pa.RecordBatch.from_arrays([q.field("k"), q.field("l"), pa.array(score[kept, best[kept]]), a.field("k").take(at), a.field("l").take(at)], ["q", "ql", "s", "k", "l"])
+
+    k, lab = (rows.schema[x].dataType.simpleString() for x in (key, label))
+    found = one("x").crossJoin(one("y")).mapInArrow(run, f"q {k}, ql {lab}, s double, k {k}, l {lab}")
+    best = found.groupBy("q", "ql").agg(F.max(F.struct("s", (-F.col("k")).alias("k"), "l")).alias("b"))
+    return best.select(F.col("q").alias(key), F.col("ql").alias("label"), (-F.col("b.k")).alias("nearest"), F.col("b.l").alias("nearest_label"))

@@ -791,6 +791,12 @@ def nn_cosine_type(spark, sf_dir):
     return geometry.nearest(e, e.where("vec_id < 200"), "vec_id", "embedding", "label")
 
 
+@query()
+def nn_cosine_type_all(spark, sf_dir):
+    """The type of the most similar of all other layouts, for every vector."""
+    return geometry.nearest_of_all(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+
+
 @query("""WITH b AS (SELECT l_orderkey AS k, l_linenumber * 2 % 16 AS r, (l_quantity / 51.0::DOUBLE) AS x0, least(1.0::DOUBLE, l_quantity / 51.0::DOUBLE + 0.1::DOUBLE) AS x1 FROM lineitem),
 c AS (SELECT k, r, least(11, floor(x0 * 12::DOUBLE))::INT AS c0, least(11, floor(x1 * 12::DOUBLE))::INT AS c1 FROM b)
 SELECT k, (r * 12 + g.c)::INT AS cell, count(*) AS n FROM c JOIN range(12) g(c) ON g.c BETWEEN c0 AND c1 GROUP BY ALL""")

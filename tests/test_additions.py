@@ -229,3 +229,25 @@ def test_sidecar_of_a_classification(spark):
     df = spark.createDataFrame([("form", "", 0.5, "escalated: torn"), ("form", "w9", 0.9, "")], "doc_type string, variant string, confidence double, evidence string")
     a, b = (r.s for r in df.select(signals.from_classification(df).alias("s")).collect())
     assert (a.variant, a.escalated, a.margin) == (None, True, None) and (b.variant, b.escalated) == ("w9", None)
+
+
+def test_nearest_of_all_rows_equals_brute_force(spark, sf_dir):
+    """The neighbour is searched among all rows, not the first 200; blocks do not change it."""
+    import numpy as np
+
+    from lectern.operators import geometry
+    from lectern.plans.queries import QUERIES
+
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    rows = sorted((r.vec_id, r.label, r.embedding) for r in e.collect())
+    v = np.asarray([r[2] for r in rows], np.float64)
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    score = np.round(v @ v.T, 6)
+    np.fill_diagonal(score, -2)
+    want = [(r[0], r[1], rows[j][0], rows[j][1]) for r, j in zip(rows, score.argmax(axis=1), strict=True)]
+    got = sorted((r.vec_id, r.label, r.nearest, r.nearest_label) for r in QUERIES["nn_cosine_type_all"](spark, sf_dir).collect())
+    assert got == want and any(r[2] >= 200 for r in got)
+    assert sorted(map(tuple, geometry.nearest_of_all(e, "vec_id", "embedding", "label", 70).collect())) == got
+    odd = spark.createDataFrame([(1, [1.0, 0.0], 5), (2, [2.0, 0.1], 6), (3, [0.0, 0.0], 7), (4, None, 8), (5, [1.0], 9)], "vec_id long, embedding array<double>, label int")
+    odd_got = {r.vec_id: r.nearest for r in geometry.nearest_of_all(odd, "vec_id", "embedding", "label", 2).collect()}
+    assert odd_got == {r.vec_id: r.nearest for r in geometry.nearest(odd, odd, "vec_id", "embedding", "label").collect()}
