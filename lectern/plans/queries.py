@@ -1014,13 +1014,23 @@ _SHARES = [f"SELECT '{arm}@{k}' AS arm, file, least(m, {gain}) AS gain, m, file
 SELECT arm, count(*) AS documents, count(*) FILTER (broke) AS failed, count(*) FILTER (NOT broke AND gain = m) AS improved, count(*) FILTER (NOT broke AND gain = m) AS gates_clear FROM a GROUP BY arm""")
 def repair_loop(spark, sf_dir):
     """Two arms that take one stray letter away at a time; one goes on from its own answer."""
-    o = _read(spark, sf_dir, "orders")
+    return _repaired(_read(spark, sf_dir, "orders").where("o_orderkey % 4 = 0"))
+
+
+@query(f"""WITH c AS (SELECT o_orderkey AS file, CASE WHEN o_orderkey % 12 = 0 THEN 2 ELSE 1 END AS m FROM orders), a AS ({" UNION ALL ".join(_SHARES)})
+SELECT arm, count(*) AS documents, count(*) FILTER (broke) AS failed, count(*) FILTER (NOT broke AND gain = m) AS improved, count(*) FILTER (NOT broke AND gain = m) AS gates_clear FROM a GROUP BY arm""")
+def repair_loop_all(spark, sf_dir):
+    """The same arms over all orders."""
+    return _repaired(_read(spark, sf_dir, "orders"))
+
+
+def _repaired(o):
     k = F.col("o_orderkey")
     stray = F.when(k % 12 == 0, "xx").otherwise("x")
     truth = o.select(k.alias("file"), F.col("o_orderstatus").alias("truth"))
     told = lambda c: F.when(c.startswith("x"), F.array(F.lit("stray letter"))).otherwise(F.array().cast("array<string>"))
     record = F.concat(stray, F.col("o_orderstatus"))
-    candidates = o.where(k % 4 == 0).select(
+    candidates = o.select(
         k.alias("file"), F.col("o_custkey").cast("string").alias("source"), record.alias("record"), told(record).alias("complaints"), F.lit(0.0).alias("before"),
         F.lit(0).alias("correct_before"), F.lit(1).alias("fields"), F.lit(1).alias("gates_before"),
     )
