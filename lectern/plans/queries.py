@@ -814,7 +814,17 @@ def occupancy_grid(spark, sf_dir):
 SELECT doc_id, CASE WHEN n_chars >= 40 AND doc_id % 3 <> 0 THEN 'first' WHEN m >= 40 THEN 'second' WHEN n_chars >= 40 THEN 'first' ELSE CASE WHEN doc_id % 3 = 0 THEN 'second' ELSE 'first' END END AS engine FROM e WHERE n_chars >= 100""")
 def ocr_cascade(spark, sf_dir):
     """The first good reading, else the best ranked."""
-    d = _read(spark, sf_dir, "documents").where("n_chars >= 100").select("doc_id", "n_chars")
+    return _cascaded(_read(spark, sf_dir, "documents").where("n_chars >= 100"))
+
+
+@query("""WITH e AS (SELECT doc_id, coalesce(n_chars, 0) AS n, coalesce(n_chars, 0) * (50 + doc_id % 50) // 100 AS m FROM documents)
+SELECT doc_id, CASE WHEN n >= 40 AND doc_id % 3 <> 0 THEN 'first' WHEN m >= 40 THEN 'second' WHEN n >= 40 OR (n > 0 AND m = 0) THEN 'first' WHEN doc_id % 3 = 0 THEN 'second' ELSE 'first' END AS engine FROM e""")
+def ocr_cascade_all(spark, sf_dir):
+    """The same over all documents, short and empty ones included."""
+    return _cascaded(_read(spark, sf_dir, "documents"))
+
+
+def _cascaded(d):
     k = F.col("doc_id")
     second = F.floor(F.col("n_chars") * (50 + k % 50) / 100).cast("int")
     one = lambda n, name, chars, conf: F.struct(F.lit(n).alias("order"), F.lit(name).alias("engine"), F.repeat(F.lit("x"), chars.cast("int")).alias("text"), F.lit("ocr").alias("layer"), conf.alias("confidence"))

@@ -251,3 +251,13 @@ def test_nearest_of_all_rows_equals_brute_force(spark, sf_dir):
     odd = spark.createDataFrame([(1, [1.0, 0.0], 5), (2, [2.0, 0.1], 6), (3, [0.0, 0.0], 7), (4, None, 8), (5, [1.0], 9)], "vec_id long, embedding array<double>, label int")
     odd_got = {r.vec_id: r.nearest for r in geometry.nearest_of_all(odd, "vec_id", "embedding", "label", 2).collect()}
     assert odd_got == {r.vec_id: r.nearest for r in geometry.nearest(odd, odd, "vec_id", "embedding", "label").collect()}
+
+
+def test_ocr_cascade_of_all_documents_reaches_the_ranking(spark, tmp_path):
+    """Short, empty and unknown lengths get a reading, too."""
+    from lectern.plans.queries import QUERIES
+
+    rows = [(1, 500), (3, 500), (3000, 60), (6, 20), (7, 20), (9, 1), (12, 0), (13, 0), (15, None), (16, None)]
+    spark.createDataFrame(rows, "doc_id long, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.engine for r in QUERIES["ocr_cascade_all"](spark, str(tmp_path)).collect()}
+    assert got == {1: "first", 3: "second", 3000: "first", 6: "second", 7: "first", 9: "first", 12: "second", 13: "first", 15: "second", 16: "first"}
