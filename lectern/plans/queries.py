@@ -783,16 +783,9 @@ def cohort_fingerprint(spark, sf_dir):
 
 @query("""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), s AS (
   SELECT a.vec_id, a.label, b.vec_id AS k, b.label AS l, round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 6) AS c
-  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND b.vec_id < 200)
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id)
 SELECT vec_id, label, arg_max(k, (c, -k)) AS nearest, arg_max(l, (c, -k)) AS nearest_label FROM s GROUP BY vec_id, label""")
 def nn_cosine_type(spark, sf_dir):
-    """The type of the most similar of 200 reference layouts, for every vector."""
-    e = _read(spark, sf_dir, "embeddings")
-    return geometry.nearest(e, e.where("vec_id < 200"), "vec_id", "embedding", "label")
-
-
-@query()
-def nn_cosine_type_all(spark, sf_dir):
     """The type of the most similar of all other layouts, for every vector."""
     return geometry.nearest_of_all(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
 
@@ -810,21 +803,11 @@ def occupancy_grid(spark, sf_dir):
 # -- readings and resumption -----------------------------------------------
 
 
-@query("""WITH e AS (SELECT doc_id, n_chars, n_chars * (50 + doc_id % 50) // 100 AS m FROM documents)
-SELECT doc_id, CASE WHEN n_chars >= 40 AND doc_id % 3 <> 0 THEN 'first' WHEN m >= 40 THEN 'second' WHEN n_chars >= 40 THEN 'first' ELSE CASE WHEN doc_id % 3 = 0 THEN 'second' ELSE 'first' END END AS engine FROM e WHERE n_chars >= 100""")
-def ocr_cascade(spark, sf_dir):
-    """The first good reading, else the best ranked."""
-    return _cascaded(_read(spark, sf_dir, "documents").where("n_chars >= 100"))
-
-
 @query("""WITH e AS (SELECT doc_id, coalesce(n_chars, 0) AS n, coalesce(n_chars, 0) * (50 + doc_id % 50) // 100 AS m FROM documents)
 SELECT doc_id, CASE WHEN n >= 40 AND doc_id % 3 <> 0 THEN 'first' WHEN m >= 40 THEN 'second' WHEN n >= 40 OR (n > 0 AND m = 0) THEN 'first' WHEN doc_id % 3 = 0 THEN 'second' ELSE 'first' END AS engine FROM e""")
-def ocr_cascade_all(spark, sf_dir):
-    """The same over all documents, short and empty ones included."""
-    return _cascaded(_read(spark, sf_dir, "documents"))
-
-
-def _cascaded(d):
+def ocr_cascade(spark, sf_dir):
+    """The first good reading of every document, else the best ranked."""
+    d = _read(spark, sf_dir, "documents")
     k = F.col("doc_id")
     second = F.floor(F.col("n_chars") * (50 + k % 50) / 100).cast("int")
     one = lambda n, name, chars, conf: F.struct(F.lit(n).alias("order"), F.lit(name).alias("engine"), F.repeat(F.lit("x"), chars.cast("int")).alias("text"), F.lit("ocr").alias("layer"), conf.alias("confidence"))
@@ -1020,21 +1003,11 @@ def classification_totals(spark, sf_dir):
 _SHARES = [f"SELECT '{arm}@{k}' AS arm, file, least(m, {gain}) AS gain, m, file % 7 = 0 AS broke FROM c" for arm, gains in (("guided", (1, 2)), ("rerun", (1, 1))) for k, gain in enumerate(gains, 1)]
 
 
-@query(f"""WITH c AS (SELECT o_orderkey AS file, CASE WHEN o_orderkey % 12 = 0 THEN 2 ELSE 1 END AS m FROM orders WHERE o_orderkey % 4 = 0), a AS ({" UNION ALL ".join(_SHARES)})
-SELECT arm, count(*) AS documents, count(*) FILTER (broke) AS failed, count(*) FILTER (NOT broke AND gain = m) AS improved, count(*) FILTER (NOT broke AND gain = m) AS gates_clear FROM a GROUP BY arm""")
-def repair_loop(spark, sf_dir):
-    """Two arms that take one stray letter away at a time; one goes on from its own answer."""
-    return _repaired(_read(spark, sf_dir, "orders").where("o_orderkey % 4 = 0"))
-
-
 @query(f"""WITH c AS (SELECT o_orderkey AS file, CASE WHEN o_orderkey % 12 = 0 THEN 2 ELSE 1 END AS m FROM orders), a AS ({" UNION ALL ".join(_SHARES)})
 SELECT arm, count(*) AS documents, count(*) FILTER (broke) AS failed, count(*) FILTER (NOT broke AND gain = m) AS improved, count(*) FILTER (NOT broke AND gain = m) AS gates_clear FROM a GROUP BY arm""")
-def repair_loop_all(spark, sf_dir):
-    """The same arms over all orders."""
-    return _repaired(_read(spark, sf_dir, "orders"))
-
-
-def _repaired(o):
+def repair_loop(spark, sf_dir):
+    """Two arms that take one stray letter away at a time from every order; one goes on from its own answer."""
+    o = _read(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     stray = F.when(k % 12 == 0, "xx").otherwise("x")
     truth = o.select(k.alias("file"), F.col("o_orderstatus").alias("truth"))

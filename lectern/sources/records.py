@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,18 +13,37 @@ from ..registry import TYPES
 FORMAT = 1
 
 
-def load_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A JSON array or JSON lines, told apart by the first character of each file; Spark reads the files, so any store will do."""
-    head = spark.read.text(path, wholetext=False).limit(1).first()
-    array = bool(head and head[0].lstrip().startswith("["))
-    return spark.read.schema(schema).json(path, multiLine=array, mode="PERMISSIVE")
+def _records(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
+    """Rows of all files, with the file of each as `_file`.
+
+    The first line of a file that is not blank tells its kind: an array, one record over several lines (a brace that
+    stands alone), or JSON lines.  Only names of files come to the driver, which lists them anyway.
+    """
+    file = F.col("_metadata.file_path")
+    lines = spark.read.text(path).where(F.col("value").rlike(r"\S") & (F.col("_metadata.file_block_start") == 0))
+    lines = lines.select(file.alias("f"), F.trim(F.substring("value", 1, 64)).alias("head"), F.monotonically_increasing_id().alias("i"))
+    first = lines.groupBy("f").agg(F.min_by("head", "i").alias("head"))
+    kinds = {r.f: r.whole for r in first.select("f", F.col("head").rlike(r"^\s*(\[|\{\s*$)").alias("whole")).collect()}
+    out = None
+    for whole in (True, False):
+        own = [unquote(f) for f, w in kinds.items() if w == whole]
+        if own or (out is None and not whole):
+            reader = spark.read.schema(schema).option("multiLine", whole).option("mode", "PERMISSIVE")
+            rows = reader.json(own) if own else spark.createDataFrame([], schema).withColumn("_file", F.lit(""))
+            rows = rows.select("*", file.alias("_file")) if own else rows
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def load_records(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
+    """JSON arrays, JSON lines and single records, told apart for each file; Spark reads the files, so any store will do."""
+    return _records(spark, path, schema).drop("_file")
 
 
 def load_corpus(spark: SparkSession, root: str, schema: T.StructType, only: tuple[str, ...] = ()) -> DataFrame:
     """labels/<stem>.json with the stem as a column, some stems only if named."""
-    df = load_records(spark, f"{root}/labels", schema)
-    stem = F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1)
-    df = df.withColumn("stem", stem)
+    df = _records(spark, f"{root}/labels/*.json", schema)
+    df = df.withColumn("stem", F.regexp_extract("_file", r"([^/]+)\.json$", 1)).drop("_file")
     return df.where(F.col("stem").isin(*only)) if only else df
 
 

@@ -245,7 +245,7 @@ def test_nearest_of_all_rows_equals_brute_force(spark, sf_dir):
     score = np.round(v @ v.T, 6)
     np.fill_diagonal(score, -2)
     want = [(r[0], r[1], rows[j][0], rows[j][1]) for r, j in zip(rows, score.argmax(axis=1), strict=True)]
-    got = sorted((r.vec_id, r.label, r.nearest, r.nearest_label) for r in QUERIES["nn_cosine_type_all"](spark, sf_dir).collect())
+    got = sorted((r.vec_id, r.label, r.nearest, r.nearest_label) for r in QUERIES["nn_cosine_type"](spark, sf_dir).collect())
     assert got == want and any(r[2] >= 200 for r in got)
     assert sorted(map(tuple, geometry.nearest_of_all(e, "vec_id", "embedding", "label", 70).collect())) == got
     odd = spark.createDataFrame([(1, [1.0, 0.0], 5), (2, [2.0, 0.1], 6), (3, [0.0, 0.0], 7), (4, None, 8), (5, [1.0], 9)], "vec_id long, embedding array<double>, label int")
@@ -259,5 +259,5 @@ def test_ocr_cascade_of_all_documents_reaches_the_ranking(spark, tmp_path):
 
     rows = [(1, 500), (3, 500), (3000, 60), (6, 20), (7, 20), (9, 1), (12, 0), (13, 0), (15, None), (16, None)]
     spark.createDataFrame(rows, "doc_id long, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.engine for r in QUERIES["ocr_cascade_all"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.engine for r in QUERIES["ocr_cascade"](spark, str(tmp_path)).collect()}
     assert got == {1: "first", 3: "second", 3000: "first", 6: "second", 7: "first", 9: "first", 12: "second", 13: "first", 15: "second", 16: "first"}

