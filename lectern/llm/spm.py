@@ -8,12 +8,18 @@ is segmented once per worker, and the pieces are projected back through the
 alignment to spans of the original bytes.  A model without a map that keeps all
 spaces has its alignment filled by a rule over arrays.
 
-Null text is empty: no ids, empty spans.  Extra columns are kept or ignored by
-the caller; repeated rows give repeated results.
+Ids, counts and decoded texts all come from the projected pieces.
+
+Null text is empty: no ids, empty spans.  An empty table gives an empty result;
+a null id stays null; rows are encoded one by one, so ties and repeated rows
+give repeated results; extra columns are ignored.  Decoding follows the library
+on any list of ids: each byte that is no UTF-8 becomes one replacement
+character, control ids nothing, an unknown id the model's surface.
 """
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import re
 import struct
@@ -26,6 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ._common import arrow
 
 SPACE = "▁"
+# One replacement character for each byte that is no part of a character.
+codecs.register_error("lectern-each", lambda e: ("\ufffd" * (e.end - e.start), e.end))
 CACHE_ENTRIES = 150_000
 CACHE_LENGTH = 48
 
@@ -126,7 +134,8 @@ class Encoder:
             at = np.maximum.accumulate(np.where((data & 0xC0) != 0x80, at, 0))
         mark = len(SPACE.encode())
         at = np.repeat(at, np.where(data == 32, mark, 1))
-        return self._fast(text), np.concatenate([np.zeros(mark * self.prefix, np.int64), at, [len(data)]])
+        marked = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
+        return marked, np.concatenate([np.zeros(mark * self.prefix, np.int64), at, [len(data)]])
 
     def _walk(self, text: str) -> tuple[str, np.ndarray]:
         data = text.encode()
@@ -173,12 +182,6 @@ class Encoder:
         source.append(at)
         return out.decode(), np.asarray(source, np.int64)
 
-    def _fast(self, text: str) -> str:
-        """The normalised text alone."""
-        if self.identity:
-            return (SPACE if self.prefix and text else "") + text.replace(" ", SPACE)
-        return self.normalise(text)[0]
-
     # -- segmentation ------------------------------------------------------
 
     def _entry(self, cut: str, ids: list[int]) -> tuple[int, str, str, tuple[int, ...], bytes]:
@@ -186,23 +189,33 @@ class Encoder:
             sizes = [1 if i in self.byte else len(self.pieces[i].encode()) for i in ids]
         else:
             # An unknown piece is as long as what it stands for.
-            sizes = [len(p.surface.encode()) for p in self.segmenter.encode(cut, out_type="immutable_proto").pieces]
+            sizes = [len(p.surface.encode()) for p in self.segmenter.encode(cut, return_type="proto").pieces]
         return len(ids), ",".join(map(str, ids)), self._surface(ids), tuple(ids), np.asarray(sizes, np.uint32).tobytes()
 
-    def _surface(self, ids) -> str:
-        out, run = [], bytearray()
+    def _surface(self, ids, start: bool = False) -> str:
+        """Text of the ids; at the start of a text a space mark is dropped as encoding put it there."""
+        out, run, text = [], bytearray(), False
         for i in ids:
             if i in self.byte:
                 run.append(self.byte[i])
+                text = True
                 continue
             if run:
-                out.append(run.decode(errors="replace"))
+                out.append(run.decode(errors="lectern-each"))
                 run.clear()
             if i in self.control:
                 continue
-            out.append(self.surface if i in self.unknown else self.pieces[i].replace(SPACE, " "))
+            if i in self.unknown:
+                out.append(self.surface)
+            else:
+                piece = self.pieces[i]
+                if start and not text and self.strip and piece.startswith(SPACE):
+                    # Only the mark of the first piece, or those of all pieces where runs of spaces are squeezed.
+                    piece, text = piece[len(SPACE) :], not self.squeeze
+                out.append(piece.replace(SPACE, " "))
+            text = text or bool(out[-1])
         if run:
-            out.append(run.decode(errors="replace"))
+            out.append(run.decode(errors="lectern-each"))
         return "".join(out)
 
     def cuts(self, normalised: list[str]) -> list[list[tuple[int, str, str, tuple[int, ...], bytes]]]:
@@ -222,7 +235,7 @@ class Encoder:
         return [list(map(get, p)) for p in parts]
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for e in self.cuts([self._fast(text or "")])[0] for i in e[3]]
+        return [i for i, _, _ in self.spans(text)]
 
     def spans(self, text: str | None) -> list[tuple[int, int, int]]:
         """(id, first byte, byte after the last) of each piece, in bytes of the text."""
@@ -243,17 +256,19 @@ class Encoder:
         return at[:-1], at[1:]
 
     def decode(self, ids) -> str:
-        text = self._surface(ids)
-        return text[1:] if self.strip and text[:1] == " " and len(ids) and ids[0] not in self.byte else text
-
-    def digests(self, texts: list[str], spans: bool = False):
-        """(number of ids, ids joined by commas, decoded text, first bytes and bytes after the last or None) of each text."""
-        found = [self.normalise(x) if spans else (self._fast(x), None) for x in texts]
+        ids = list(ids)
+        if any(not 0 <= i < len(self.pieces) for i in ids):
+            raise IndexError("an id outside the vocabulary")
+        return self._surface(ids, start=True)
+
+    def digests(self, texts: list[str]):
+        """(number of ids, ids joined by commas, decoded text, first bytes, bytes after the last, ids) of each text."""
+        found = [self.normalise(x) for x in texts]
         for entries, (_, source) in zip(self.cuts([x for x, _ in found]), found, strict=True):
-            decoded = "".join([e[2] for e in entries])
-            if self.strip and decoded[:1] == " " and entries[0][3][0] not in self.byte:
-                decoded = decoded[1:]
-            yield sum([e[0] for e in entries]), ",".join([e[1] for e in entries]), decoded, self._project(entries, source) if spans else None
+            starts, ends = self._project(entries, source)
+            # Cuts end where characters do, so only the first one is decoded in its place.
+            decoded = "".join([self._surface(entries[0][3], start=True), *[e[2] for e in entries[1:]]]) if entries else ""
+            yield len(starts), ",".join([e[1] for e in entries]), decoded, starts, ends, entries
 
 
 @lru_cache(maxsize=2)
@@ -261,8 +276,8 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode(df: DataFrame, path: str | None = None, text: str = "text", key: str = "doc_id", spans: bool = True) -> DataFrame:
-    """Per row: key, ids array<int> and, if asked for, starts and ends array<long> in bytes of the text."""
+def encode(df: DataFrame, path: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Per row: key, ids array<int>, starts and ends array<long> in bytes of the text."""
     path = path or default_model()
     arrow(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
@@ -270,17 +285,11 @@ def encode(df: DataFrame, path: str | None = None, text: str = "text", key: str
     def run(batches):
         model = encoder(path)
         for b in batches:
-            texts = [x or "" for x in b.column(1).to_pylist()]
-            cols = [b.column(0)]
-            if spans:
-                found = [model.spans(x) for x in texts]
-                cols += [pa.array([[p[j] for p in f] for f in found], pa.list_(t)) for j, t in enumerate((pa.int32(), pa.int64(), pa.int64()))]
-            else:
-                cols.append(pa.array([model.encode(x) for x in texts], pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(cols, ["key", "ids", "starts", "ends"][: len(cols)])
+            found = [model.spans(x) for x in b.column(1).to_pylist()]
+            cols = [pa.array([[p[j] for p in f] for f in found], pa.list_(t)) for j, t in enumerate((pa.int32(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["key", "ids", "starts", "ends"])
 
-    extra = ", starts array<bigint>, ends array<bigint>" if spans else ""
-    return df.select(df[key], df[text]).mapInArrow(run, f"key {kind}, ids array<int>{extra}").withColumnRenamed("key", key)
+    return df.select(df[key], df[text]).mapInArrow(run, f"key {kind}, ids array<int>, starts array<bigint>, ends array<bigint>").withColumnRenamed("key", key)
 
 
 def decode(df: DataFrame, path: str | None = None, ids: str = "ids", key: str = "doc_id") -> DataFrame:
@@ -298,31 +307,37 @@ def decode(df: DataFrame, path: str | None = None, ids: str = "ids", key: str =
     return df.select(df[key], df[ids]).mapInArrow(run, f"key {kind}, text string").withColumnRenamed("key", key)
 
 
-def digest(df: DataFrame, path: str | None = None, spans: bool = False) -> DataFrame:
-    """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, spans_sha256: of all starts,
-    then all ends, as little-endian 64-bit numbers."""
+def digest(df: DataFrame, path: str | None = None, ids: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: doc_id, the columns `keep`, n_tokens, ids_sha256, decoded_sha256, spans_sha256 (of all starts, then all
+    ends, as little-endian 64-bit numbers) and, if asked for, ids array<int>."""
     path = path or default_model()
     arrow(df.sparkSession)
+    names = ["n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"]
+    lead = ["doc_id", *keep]
 
     def run(batches):
         model = encoder(path)
         for b in batches:
-            n, ids, back, where = [], [], [], []
-            texts = [x or "" for x in b.column(1).to_pylist()]
+            n, told, back, where, flat, ends = [], [], [], [], [], [0]
+            texts = [x or "" for x in b.column(len(lead)).to_pylist()]
             for lo in range(0, len(texts), 64):
-                for count, joined, decoded, at in model.digests(texts[lo : lo + 64], spans):
+                for count, joined, decoded, first, last, entries in model.digests(texts[lo : lo + 64]):
                     n.append(count)
-                    ids.append(hashlib.sha256(joined.encode()).hexdigest())
+                    told.append(hashlib.sha256(joined.encode()).hexdigest())
                     back.append(hashlib.sha256(decoded.encode()).hexdigest())
-                    if spans:
-                        where.append(hashlib.sha256(b"".join(x.astype("<i8").tobytes() for x in at)).hexdigest())
-            cols = [b.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.string()) for x in (ids, back, where))]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"]
-            yield pa.RecordBatch.from_arrays(cols[: 4 + spans], names[: 4 + spans])
+                    where.append(hashlib.sha256(first.astype("<i8").tobytes() + last.astype("<i8").tobytes()).hexdigest())
+                    if ids:
+                        flat += [np.asarray(e[3], np.int32) for e in entries]
+                        ends.append(ends[-1] + count)
+            cols = [*b.columns[: len(lead)], pa.array(n, pa.int64()), *(pa.array(x, pa.string()) for x in (told, back, where))]
+            if ids:
+                cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32))))
+            yield pa.RecordBatch.from_arrays(cols, [*lead, *names, *(["ids"] if ids else [])])
 
-    extra = ", spans_sha256 string" if spans else ""
-    return df.select(df["doc_id"], df["text"]).mapInArrow(run, f"doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string{extra}")
+    kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in lead)
+    extra = ", ids array<int>" if ids else ""
+    return df.select(*[df[c] for c in lead], df["text"]).mapInArrow(run, f"{kinds}n_tokens bigint, ids_sha256 string, decoded_sha256 string, spans_sha256 string{extra}")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(spark.read.parquet(f"{sf_dir}/documents.parquet"), spans=True)
+    return digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -105,8 +105,8 @@ def test_sentencepiece_equals_library(docs):
     import sentencepiece
 
     lib = sentencepiece.SentencePieceProcessor(model_file=spm.default_model())
-    want = sorted((r.doc_id, len(i := lib.encode(r.text or "")), hashlib.sha256(",".join(map(str, i)).encode()).hexdigest(), hashlib.sha256((lib.decode(i) if i else "").encode()).hexdigest()) for r in docs.where("doc_id is not null").collect())
-    assert sorted(tuple(r) for r in spm.digest(docs.where("doc_id is not null")).collect()) == want
+    want = sorted(((r.doc_id, len(i := lib.encode(r.text or "")), hashlib.sha256(",".join(map(str, i)).encode()).hexdigest(), hashlib.sha256((lib.decode(i) if i else "").encode()).hexdigest()) for r in docs.collect()), key=repr)
+    assert sorted((tuple(r)[:4] for r in spm.digest(docs).collect()), key=repr) == want
 
 
 def test_sentencepiece_spans(docs):
