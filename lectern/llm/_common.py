@@ -27,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named
     sc = spark.sparkContext
+    if not sc.master.startswith("local") and sc._jsc.sc().getCheckpointDir().isEmpty():
+        raise RuntimeError("executors share no folder: set spark.checkpoint.dir")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir("file://" + os.path.join(tempfile.gettempdir(), f"lectern-{uuid.uuid4().hex}"))
     return sc._jsc.sc().getCheckpointDir().get()
@@ -41,7 +43,15 @@ def durable(df: DataFrame, spark: SparkSession, few: bool = False) -> DataFrame:
         df = df.repartition(max(1, partitions(spark) // 16))
     path = f"{shared_dir(spark).rstrip('/')}/lectern-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lectern_path = path
+    return out
+
+
+def discard(df: DataFrame, spark: SparkSession) -> None:
+    """Delete a table of durable() that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._lectern_path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -75,7 +85,8 @@ def components(spark: SparkSession, edges: DataFrame, most: int = 60) -> DataFra
             large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         )
-        now = durable(small, spark, few=True)
+        before, now = now, durable(small, spark, few=True)
+        discard(before, spark)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
             break

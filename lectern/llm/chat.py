@@ -12,11 +12,13 @@ messages, which are rendered as
 
 Inside texts and roles `<` before any number of backslashes and `|` gets one
 more backslash, so no control string can occur there and the escape is undone
-exactly.
+exactly.  A newline inside a role becomes the control string `<|nl|>`, as the
+first newline ends the role.
 
 Null text or role is empty; an unknown or null kind counts as `message`; a null
 conversation is one of its own; ties of sequence are ordered by kind, role and
-text; an empty log gives an empty result.  Output is one string per
+text, and repeated rows are messages of their own; columns of other names are
+ignored; an empty log gives an empty result.  Output is one string per
 conversation, as the digest of a whole conversation needs it in one place.
 """
 
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-START, END = "<|im_start|>", "<|im_end|>"
+START, END, NEWLINE = "<|im_start|>", "<|im_end|>", "<|nl|>"
 
 
 def escape(text: Column) -> Column:
@@ -36,6 +38,14 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"<(\\*)\\\|", "<$1|")
 
 
+def escape_role(role: Column) -> Column:
+    return F.replace(escape(role), F.lit("\n"), F.lit(NEWLINE))
+
+
+def unescape_role(role: Column) -> Column:
+    return unescape(F.replace(role, F.lit(NEWLINE), F.lit("\n")))
+
+
 def fold(events: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text) of the final messages of a log."""
     kind = F.when(F.col("kind").isin("delta", "edit", "regenerate"), F.col("kind")).otherwise("message")
@@ -62,7 +72,7 @@ def render(messages: DataFrame, learn: tuple[str, ...] = ("assistant",)) -> Data
     roles `learn`, in code points from 1."""
     marked = messages.select(
         "conv_id", "turn", "role",
-        F.concat(F.lit(START), escape(F.col("role")), F.lit("\n")).alias("head"),
+        F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n")).alias("head"),
         escape(F.col("text")).alias("text"),
     )
     marked = marked.withColumn("size", F.char_length("head") + F.char_length("text") + len(END) + 1)
@@ -84,7 +94,7 @@ def parse(formatted: Column) -> Column:
     def message(x: Column) -> Column:
         line = F.instr(x, "\n")
         role = F.substring(x, F.lit(len(START) + 1), line - len(START) - 1)
-        return F.struct(unescape(role).alias("role"), unescape(F.substring(x, line + 1, F.char_length(x))).alias("text"))
+        return F.struct(unescape_role(role).alias("role"), unescape(F.substring(x, line + 1, F.char_length(x))).alias("text"))
 
     return F.transform(whole, message)
 

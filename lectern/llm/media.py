@@ -3,10 +3,15 @@
 A media value is a WAV file: mu-law (format tag 7), A-law (6) or IMA ADPCM (17).
 Companded samples expand through 256-entry tables; ADPCM steps through the
 samples of a block once, on all blocks at the same time; decoded audio is
-resampled linearly and stored as 16-bit PCM.
+resampled linearly and stored as 16-bit PCM.  The query writes the files as a
+column, reads them back, writes their PCM as a column, and describes what it
+reads from there.
 
 Null bytes decode to null; an empty payload is a file without samples.  A file
-that is no WAV of these formats decodes to null rather than failing the job.
+that is no WAV of these formats, is cut off, or has a rate outside RATES (whose
+resampling would grow without bound) decodes to null rather than failing the
+job.  Null ids stay null, repeated rows give repeated results, extra columns are
+ignored, an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,15 +24,17 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ._common import arrow
-from ._text import buffers, chunks
+from ._common import arrow, discard, durable
 
 TAGS = {"alaw": 6, "mulaw": 7, "adpcm": 17}
 UNIT = 576
+#: Rates of files that are decoded, so that a sample becomes at most 16 at 16 kHz.
+RATES = range(1000, 192_001)
 #: Output samples handled at once by the resampler.
-PIECE = 1 << 20
+PIECE = 1 << 18
+#: ADPCM blocks that step together.
+BLOCKS = 1 << 11
 
 
 @lru_cache
@@ -106,9 +113,9 @@ def parts(file: bytes) -> tuple[int, int, int, memoryview] | None:
     at, head, view = 12, None, memoryview(file)
     while at + 8 <= len(file):
         name, (size,) = file[at : at + 4], struct.unpack_from("<I", file, at + 4)
-        if name == b"fmt " and size >= 16:
+        if name == b"fmt " and size >= 16 and at + 24 <= len(file):
             tag, channels, rate, _, block, _ = struct.unpack_from("<HHIIHH", file, at + 8)
-            head = (tag, rate, block) if channels == 1 and tag in TAGS.values() and rate > 0 else None
+            head = (tag, rate, block) if channels == 1 and tag in TAGS.values() and rate in RATES else None
         if name == b"data" and head and at + 8 + size <= len(file):
             return *head, view[at + 8 : at + 8 + size]
         at += 8 + size + size % 2
@@ -122,7 +129,8 @@ def expand(tag: int, block: int, payload) -> np.ndarray:
     if tag == TAGS["alaw"]:
         return alaw_table()[raw]
     whole = len(raw) // block * block if block > 4 else 0
-    return adpcm(raw[:whole].reshape(-1, block)).ravel() if whole else np.zeros(0, np.int16)
+    blocks = raw[:whole].reshape(-1, max(block, 1))
+    return np.concatenate([adpcm(blocks[lo : lo + BLOCKS]).ravel() for lo in range(0, len(blocks), BLOCKS)] or [np.zeros(0, np.int16)])
 
 
 def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
@@ -145,82 +153,105 @@ def decode(df: DataFrame, media: str = "media", key: str = "doc_id", to: int = 1
     arrow(df.sparkSession)
     names = {v: k for k, v in TAGS.items()}
 
-    def run(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                file = b.column(1)[i].as_py()
-                got = parts(file) if file is not None else None
-                row = [None, None, None]
-                if got:
-                    pcm = resample(expand(got[0], got[2], got[3]), got[1], to)
-                    row = [names[got[0]], len(pcm), pcm.astype("<i2").tobytes()]
-                yield pa.RecordBatch.from_arrays([b.column(0)[i : i + 1], *(pa.array([x], t) for x, t in zip(row, (pa.string(), pa.int64(), pa.binary()), strict=True))], ["key", "codec", "samples", "pcm"])
+    def one(file):
+        got = parts(file) if file is not None else None
+        if not got:
+            return None, None, None
+        pcm = resample(expand(got[0], got[2], got[3]), got[1], to)
+        return names[got[0]], len(pcm), pcm.astype("<i2").tobytes()
 
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(df[key], df[media]).mapInArrow(run, f"key {kind}, codec string, samples bigint, pcm binary").withColumnRenamed("key", key)
+    kinds = {"codec": pa.string(), "samples": pa.int64(), "pcm": pa.binary()}
+    return _each(df, key, (media,), one, kinds, f"key {df.schema[key].dataType.simpleString()}, codec string, samples bigint, pcm binary")
 
 
 def store(df: DataFrame, codec: str = "mulaw", payload: str = "text", key: str = "doc_id", unit: int = UNIT) -> DataFrame:
     """Per row: key, n_bytes, and media: the payload's bytes, 255 appended to a positive multiple of `unit`, as a file."""
     arrow(df.sparkSession)
 
+    def one(raw):
+        return len(raw or b""), wav(pad(raw or b"", unit), codec)
+
+    df = df.select(df[key], df[payload].cast("binary").alias(payload))
+    return _each(df, key, (payload,), one, {"n_bytes": pa.int64(), "media": pa.binary()}, f"key {df.schema[key].dataType.simpleString()}, n_bytes bigint, media binary")
+
+
+def _each(df: DataFrame, key: str, given: tuple[str, ...], one, kinds: dict[str, pa.DataType], schema: str) -> DataFrame:
+    """key and what `one` makes of the given columns of each row, in record batches of some megabytes."""
+
     def run(batches):
         for b in batches:
-            data, off = buffers(b.column(1))
+            rows, lo, held = [], 0, 0
+
+            def batch(hi):
+                cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
+                return pa.RecordBatch.from_arrays([b.column(0)[lo:hi], *(pa.array(list(c), t) for c, t in zip(cols, kinds.values(), strict=True))], ["key", *kinds])
+
             for i in range(b.num_rows):
-                raw = data[off[i] : off[i + 1]].tobytes()
-                yield pa.RecordBatch.from_arrays([b.column(0)[i : i + 1], pa.array([len(raw)]), pa.array([wav(pad(raw, unit), codec)], pa.binary())], ["key", "n_bytes", "media"])
+                row = one(*(b.column(1 + j)[i].as_py() for j in range(len(given))))
+                rows.append(row)
+                held += sum(len(x) for x in row if isinstance(x, bytes))
+                if held >= 4 << 20:
+                    yield batch(i + 1)
+                    rows, lo, held = [], i + 1, 0
+            yield batch(b.num_rows)
 
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(df[key], df[payload]).mapInArrow(run, f"key {kind}, n_bytes bigint, media binary").withColumnRenamed("key", key)
+    return df.select(df[key], *(df[c] for c in given)).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def pad(raw: bytes, unit: int = UNIT) -> bytes:
     return raw + b"\xff" * (max(unit, -(-len(raw) // unit) * unit) - len(raw))
 
 
-def features(payload, blocks: np.ndarray, rate: int = 8000, to: int = 16000) -> str:
-    """Level, peak and zero crossings of the payload as resampled mu-law audio,
-    and a checksum of the same bytes as decoded ADPCM blocks."""
-    pcm = resample(expand(TAGS["mulaw"], 1, payload), rate, to)
-    wide = pcm.astype(np.float64)
-    sign = pcm < 0
-    cross = int(np.count_nonzero(sign[1:] != sign[:-1]))
-    peak = int(max(pcm.max(initial=0), -int(pcm.min(initial=0))))
-    return (
-        f"samples={len(pcm)};power={int(wide @ wide)};peak={peak};crossings={cross};"
-        f"pcm_crc={zlib.crc32(pcm)};adpcm_crc={zlib.crc32(blocks)}"
-    )
-
-
-def digest(df: DataFrame) -> DataFrame:
-    """Per row of (doc_id, text), null being empty: stored as mu-law files, read back, and described."""
-    arrow(df.sparkSession)
+def other_codecs(payload) -> tuple[int, int]:
+    """Checksums of the samples of the same bytes as A-law and as ADPCM blocks, piece by piece."""
+    raw = np.frombuffer(payload, np.uint8)
+    alaw = steps = 0
+    for lo in range(0, len(raw), BLOCKS * UNIT):
+        part = raw[lo : lo + BLOCKS * UNIT]
+        alaw = zlib.crc32(expand(TAGS["alaw"], 1, part).astype("<i2"), alaw)
+        steps = zlib.crc32(expand(TAGS["adpcm"], UNIT, part).astype("<i2"), steps)
+    return alaw, steps
+
+
+def level(pcm) -> str:
+    """Length, power, peak, zero crossings and checksum of 16-bit samples, piece by piece."""
+    pcm = np.frombuffer(pcm, "<i2")
+    power = peak = cross = 0
+    for lo in range(0, len(pcm), PIECE):
+        part = pcm[lo : lo + PIECE + 1]  # one more, for the crossing between two pieces
+        cross += int(np.count_nonzero((part[1:] < 0) != (part[:-1] < 0)))
+        wide = part[:PIECE].astype(np.int64)
+        power += int(wide @ wide)
+        peak = max(peak, int(np.abs(wide).max()))
+    return f"samples={len(pcm)};power={power};peak={peak};crossings={cross};pcm_crc={zlib.crc32(pcm)}"
+
+
+_READ = {
+    "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(),
+    "media_sha256": pa.string(), "alaw_crc": pa.int64(), "adpcm_crc": pa.int64(), "pcm": pa.binary(),
+}
+
+
+def digest(df: DataFrame, to: int = 16000) -> DataFrame:
+    """Per row of (doc_id, text), null being empty: stored as mu-law files, read back, resampled, stored as PCM, read back and described."""
+    spark = df.sparkSession
+
+    def read(n, file):
+        _, rate, _, payload = parts(file)
+        pcm = resample(expand(TAGS["mulaw"], 1, payload), rate, to).astype("<i2").tobytes()
+        return (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(file), hashlib.sha256(file).hexdigest(), *other_codecs(payload), pcm)
 
     def run(batches):
         for b in batches:
-            data, off = buffers(b.column(1))
-            rows = []
-            for lo, hi in chunks(off):
-                files = [wav(pad(data[off[i] : off[i + 1]].tobytes())) for i in range(lo, hi)]
-                back = [parts(x) for x in files]
-                blocks = [np.frombuffer(x[3], np.uint8).reshape(-1, UNIT) for x in back]
-                pcm = adpcm(np.concatenate(blocks))  # all blocks of these texts step together
-                at = 0
-                for i, file, (_, rate, _, view), own in zip(range(lo, hi), files, back, blocks, strict=True):
-                    text = features(view, pcm[at : at + len(own)], rate)
-                    at += len(own)
-                    rows.append((int(off[i + 1] - off[i]), len(view), hashlib.sha256(view).hexdigest(), zlib.crc32(view[-32:]), len(file), hashlib.sha256(file).hexdigest(), text))
-            cols = list(zip(*rows, strict=True)) or [()] * 7
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), *(pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True))],
-                ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
-            )
-
-    return df.select(df["doc_id"], df["text"]).mapInArrow(
-        run, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-    )
+            at = b.schema.get_field_index("pcm")
+            told = [f"{level(x.as_buffer())};alaw_crc={a};adpcm_crc={c}" for x, a, c in zip(b.column(at), b.column(at - 2).to_pylist(), b.column(at - 1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[: at - 2], pa.array(told, pa.string())], [*b.schema.names[: at - 2], "feature"])
+
+    stored = durable(store(df), spark)
+    kind = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string"
+    pcm = durable(_each(stored, "doc_id", ("n_bytes", "media"), read, _READ, kind.replace("doc_id", "key") + ", alaw_crc bigint, adpcm_crc bigint, pcm binary"), spark)
+    discard(stored, spark)
+    return pcm.mapInArrow(run, f"{kind}, feature string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
