@@ -32,5 +32,7 @@ def workspace(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("executors share no folder: set spark.checkpoint.dir")
         named = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="lectern-")
     return f"{named.rstrip('/')}/lectern-{uuid.uuid4().hex}"
