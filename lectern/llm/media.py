@@ -176,24 +176,25 @@ def store(df: DataFrame, codec: str = "mulaw", payload: str = "text", key: str =
 
 
 def _each(df: DataFrame, key: str, given: tuple[str, ...], one, kinds: dict[str, pa.DataType], schema: str) -> DataFrame:
-    """key and what `one` makes of the given columns of each row, in record batches of some megabytes."""
+    """key and what `one` makes of the given columns of each row."""
+
+    def some(*columns):
+        return [one(*row) for row in zip(*columns, strict=True)]
+
+    return _some(df, key, given, some, kinds, schema)
+
+
+def _some(df: DataFrame, key: str, given: tuple[str, ...], some, kinds: dict[str, pa.DataType], schema: str) -> DataFrame:
+    """key and the rows that `some` makes of lists of the given columns, about a megabyte of rows at a time."""
 
     def run(batches):
         for b in batches:
-            rows, lo, held = [], 0, 0
-
-            def batch(hi):
+            step = max(1, int(b.num_rows * (1 << 20) / max(b.nbytes, 1)))
+            for lo in range(0, max(b.num_rows, 1), step):
+                part = b.slice(lo, step)
+                rows = some(*(c.to_pylist() for c in part.columns[1:]))
                 cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
-                return pa.RecordBatch.from_arrays([b.column(0)[lo:hi], *(pa.array(list(c), t) for c, t in zip(cols, kinds.values(), strict=True))], ["key", *kinds])
-
-            for i in range(b.num_rows):
-                row = one(*(b.column(1 + j)[i].as_py() for j in range(len(given))))
-                rows.append(row)
-                held += sum(len(x) for x in row if isinstance(x, bytes))
-                if held >= 4 << 20:
-                    yield batch(i + 1)
-                    rows, lo, held = [], i + 1, 0
-            yield batch(b.num_rows)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(list(c), t) for c, t in zip(cols, kinds.values(), strict=True))], ["key", *kinds])
 
     return df.select(df[key], *(df[c] for c in given)).mapInArrow(run, schema).withColumnRenamed("key", key)
 
@@ -202,15 +203,21 @@ def pad(raw: bytes, unit: int = UNIT) -> bytes:
     return raw + b"\xff" * (max(unit, -(-len(raw) // unit) * unit) - len(raw))
 
 
-def other_codecs(payload) -> tuple[int, int]:
-    """Checksums of the samples of the same bytes as A-law and as ADPCM blocks, piece by piece."""
-    raw = np.frombuffer(payload, np.uint8)
-    alaw = steps = 0
-    for lo in range(0, len(raw), BLOCKS * UNIT):
-        part = raw[lo : lo + BLOCKS * UNIT]
-        alaw = zlib.crc32(expand(TAGS["alaw"], 1, part).astype("<i2"), alaw)
-        steps = zlib.crc32(expand(TAGS["adpcm"], UNIT, part).astype("<i2"), steps)
-    return alaw, steps
+def other_codecs(payloads) -> list[tuple[int, int]]:
+    """Checksums of the samples of the same bytes as A-law and as ADPCM blocks; blocks of all payloads step together."""
+    raw = [np.frombuffer(x, np.uint8) for x in payloads]
+    first = np.cumsum([0, *(len(x) // UNIT for x in raw)])
+    alaw, steps = [0] * len(raw), [0] * len(raw)
+    for i, x in enumerate(raw):
+        for lo in range(0, len(x), PIECE):
+            alaw[i] = zlib.crc32(expand(TAGS["alaw"], 1, x[lo : lo + PIECE]).astype("<i2"), alaw[i])
+    every = np.concatenate(raw).reshape(-1, UNIT) if raw else np.zeros((0, UNIT), np.uint8)
+    for lo in range(0, len(every), BLOCKS):
+        hi = min(lo + BLOCKS, len(every))
+        pcm = adpcm(every[lo:hi]).astype("<i2")
+        for i in range(int(np.searchsorted(first, lo, side="right")) - 1, int(np.searchsorted(first, hi))):
+            steps[i] = zlib.crc32(pcm[max(first[i], lo) - lo : min(first[i + 1], hi) - lo], steps[i])
+    return list(zip(alaw, steps, strict=True))
 
 
 def level(pcm) -> str:
@@ -236,10 +243,13 @@ def digest(df: DataFrame, to: int = 16000) -> DataFrame:
     """Per row of (doc_id, text), null being empty: stored as mu-law files, read back, resampled, stored as PCM, read back and described."""
     spark = df.sparkSession
 
-    def read(n, file):
-        _, rate, _, payload = parts(file)
-        pcm = resample(expand(TAGS["mulaw"], 1, payload), rate, to).astype("<i2").tobytes()
-        return (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(file), hashlib.sha256(file).hexdigest(), *other_codecs(payload), pcm)
+    def read(sizes, files):
+        found = [parts(x) for x in files]
+        rows = []
+        for n, file, (_, rate, _, payload), crc in zip(sizes, files, found, other_codecs([x[3] for x in found]), strict=True):
+            pcm = resample(expand(TAGS["mulaw"], 1, payload), rate, to).astype("<i2").tobytes()
+            rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(file), hashlib.sha256(file).hexdigest(), *crc, pcm))
+        return rows
 
     def run(batches):
         for b in batches:
@@ -249,7 +259,7 @@ def digest(df: DataFrame, to: int = 16000) -> DataFrame:
 
     stored = durable(store(df), spark)
     kind = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string"
-    pcm = durable(_each(stored, "doc_id", ("n_bytes", "media"), read, _READ, kind.replace("doc_id", "key") + ", alaw_crc bigint, adpcm_crc bigint, pcm binary"), spark)
+    pcm = durable(_some(stored, "doc_id", ("n_bytes", "media"), read, _READ, kind.replace("doc_id", "key") + ", alaw_crc bigint, adpcm_crc bigint, pcm binary"), spark)
     discard(stored, spark)
     return pcm.mapInArrow(run, f"{kind}, feature string")
 
