@@ -29,7 +29,7 @@ from ._common import arrow, discard, durable
 
 TAGS = {"alaw": 6, "mulaw": 7, "adpcm": 17}
 UNIT = 576
-#: Rates of files that are decoded, so that a sample becomes at most 16 at 16 kHz.
+#: Rates of files that are decoded, so that a sample becomes at most 8 at 8 kHz.
 RATES = range(1000, 192_001)
 #: Output samples handled at once by the resampler.
 PIECE = 1 << 18
@@ -134,21 +134,30 @@ def expand(tag: int, block: int, payload) -> np.ndarray:
 
 
 def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
-    """Linear interpolation to another rate; n samples become ceil(n * to / rate)."""
+    """Another rate: linear interpolation upwards, the mean over the time of each new sample downwards; n samples become ceil(n * to / rate)."""
     if rate == to or not len(pcm):
         return pcm
     n = -(-len(pcm) * to // rate)
     out = np.empty(n, np.int16)
     for lo in range(0, n, PIECE):
-        at = np.arange(lo, min(n, lo + PIECE), dtype=np.int64) * rate
-        left, part = at // to, (at % to).astype(np.float32) / np.float32(to)
-        a = pcm[left].astype(np.float32)
-        b = pcm[np.minimum(left + 1, len(pcm) - 1)].astype(np.float32)
-        out[lo : lo + len(at)] = np.rint(a + (b - a) * part)
+        at = np.arange(lo, min(n, lo + PIECE) + (rate > to), dtype=np.int64) * rate
+        left, part = at // to, at % to / to
+        if rate > to:
+            end = len(pcm)
+            part[left >= end] = 0
+            left = np.minimum(left, end)
+            some = pcm[left[0] : left[-1] + 1].astype(np.float64)
+            inside = left - left[0]
+            area = np.concatenate([[0.0], np.cumsum(some)])[inside] + part * np.append(some, 0.0)[inside]
+            out[lo : lo + len(at) - 1] = np.rint(np.diff(area) / np.diff(left + part))
+        else:
+            a = pcm[left].astype(np.float32)
+            b = pcm[np.minimum(left + 1, len(pcm) - 1)].astype(np.float32)
+            out[lo : lo + len(at)] = np.rint(a + (b - a) * part.astype(np.float32))
     return out
 
 
-def decode(df: DataFrame, media: str = "media", key: str = "doc_id", to: int = 16000) -> DataFrame:
+def decode(df: DataFrame, media: str = "media", key: str = "doc_id", to: int = 8000) -> DataFrame:
     """Per row: key, codec, samples, and pcm: 16-bit little-endian samples at rate `to`; nulls for what is no such file."""
     arrow(df.sparkSession)
     names = {v: k for k, v in TAGS.items()}
@@ -164,12 +173,12 @@ def decode(df: DataFrame, media: str = "media", key: str = "doc_id", to: int = 1
     return _each(df, key, (media,), one, kinds, f"key {df.schema[key].dataType.simpleString()}, codec string, samples bigint, pcm binary")
 
 
-def store(df: DataFrame, codec: str = "mulaw", payload: str = "text", key: str = "doc_id", unit: int = UNIT) -> DataFrame:
+def store(df: DataFrame, codec: str = "mulaw", payload: str = "text", key: str = "doc_id", unit: int = UNIT, rate: int = 8000) -> DataFrame:
     """Per row: key, n_bytes, and media: the payload's bytes, 255 appended to a positive multiple of `unit`, as a file."""
     arrow(df.sparkSession)
 
     def one(raw):
-        return len(raw or b""), wav(pad(raw or b"", unit), codec)
+        return len(raw or b""), wav(pad(raw or b"", unit), codec, rate)
 
     df = df.select(df[key], df[payload].cast("binary").alias(payload))
     return _each(df, key, (payload,), one, {"n_bytes": pa.int64(), "media": pa.binary()}, f"key {df.schema[key].dataType.simpleString()}, n_bytes bigint, media binary")
@@ -239,15 +248,16 @@ _READ = {
 }
 
 
-def digest(df: DataFrame, to: int = 16000) -> DataFrame:
-    """Per row of (doc_id, text), null being empty: stored as mu-law files, read back, resampled, stored as PCM, read back and described."""
+def digest(df: DataFrame, rate: int = 16000, to: int = 8000) -> DataFrame:
+    """Per row of (doc_id, text), null being empty: stored as wide-band mu-law files, read back, resampled to telephone
+    rate, stored as PCM, read back and described."""
     spark = df.sparkSession
 
-    def read(sizes, files):
+    def read(sizes, files):  # the rate is that of the file
         found = [parts(x) for x in files]
         rows = []
-        for n, file, (_, rate, _, payload), crc in zip(sizes, files, found, other_codecs([x[3] for x in found]), strict=True):
-            pcm = resample(expand(TAGS["mulaw"], 1, payload), rate, to).astype("<i2").tobytes()
+        for n, file, (_, held, _, payload), crc in zip(sizes, files, found, other_codecs([x[3] for x in found]), strict=True):
+            pcm = resample(expand(TAGS["mulaw"], 1, payload), held, to).astype("<i2").tobytes()
             rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(file), hashlib.sha256(file).hexdigest(), *crc, pcm))
         return rows
 
@@ -257,7 +267,7 @@ def digest(df: DataFrame, to: int = 16000) -> DataFrame:
             told = [f"{level(x.as_buffer())};alaw_crc={a};adpcm_crc={c}" for x, a, c in zip(b.column(at), b.column(at - 2).to_pylist(), b.column(at - 1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[: at - 2], pa.array(told, pa.string())], [*b.schema.names[: at - 2], "feature"])
 
-    stored = durable(store(df), spark)
+    stored = durable(store(df, rate=rate), spark)
     kind = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string"
     pcm = durable(_some(stored, "doc_id", ("n_bytes", "media"), read, _READ, kind.replace("doc_id", "key") + ", alaw_crc bigint, adpcm_crc bigint, pcm binary"), spark)
     discard(stored, spark)

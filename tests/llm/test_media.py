@@ -12,7 +12,7 @@ from lectern.llm import media
 def slow(text):
     raw = (text or "").encode()
     payload = raw + b"\xff" * (-len(raw) % 576 or (576 if not raw else 0))
-    file = media.wav(payload)
+    file = media.wav(payload, rate=16000)
 
     def mulaw(code):
         code = ~code & 255
@@ -20,9 +20,7 @@ def slow(text):
         return -size if code & 128 else size
 
     x = [mulaw(c) for c in payload]
-    pcm = []
-    for i, v in enumerate(x):
-        pcm += [v, round((v + x[min(i + 1, len(x) - 1)]) / 2)]
+    pcm = [round((a + b) / 2) for a, b in zip(x[::2], x[1::2], strict=True)]
     cross = sum((a < 0) != (b < 0) for a, b in zip(pcm[1:], pcm[:-1], strict=True))
     crc = lambda tag: zlib.crc32(media.expand(tag, 576, payload).astype("<i2"))
     feature = f"samples={len(pcm)};power={sum(v * v for v in pcm)};peak={max(map(abs, pcm))};crossings={cross};pcm_crc={zlib.crc32(struct.pack(f'<{len(pcm)}h', *pcm))};alaw_crc={crc(6)};adpcm_crc={crc(17)}"
@@ -48,6 +46,22 @@ def test_files_that_are_cut_off_or_odd_are_null(spark):
     assert [i for i, r in got.items() if r != (None, None, None)] == []
     assert media.decode(df.limit(0)).count() == 0
     kept = spark.createDataFrame([(1, media.wav(bytes(range(256)), c)) for c in ("alaw", "mulaw")], "doc_id bigint, media binary")
-    for r in media.decode(kept, to=8000).collect():
+    for r in media.decode(kept).collect():
         table = media.alaw_table() if r.codec == "alaw" else media.mulaw_table()
         assert np.frombuffer(r.pcm, "<i2").tolist() == table.tolist()
+
+
+def test_resampling(monkeypatch):
+    monkeypatch.setattr(media, "PIECE", 7)
+    x = np.random.default_rng(1).integers(-32768, 32768, 101).astype(np.int16)
+    for rate, to in ((8000, 16000), (11025, 16000), (8000, 12000)):
+        at = [i * rate / to for i in range(-(-len(x) * to // rate))]
+        want = [x[int(p)] + (float(x[min(int(p) + 1, 100)]) - x[int(p)]) * (p - int(p)) for p in at]
+        assert np.abs(media.resample(x, rate, to) - np.array(want)).max() <= 0.6
+    for rate, to in ((16000, 8000), (12000, 8000), (44100, 8000)):
+        want = []
+        for i in range(-(-len(x) * to // rate)):
+            lo, hi = i * rate / to, min((i + 1) * rate / to, 101)
+            want.append(sum(float(x[j]) * (min(j + 1, hi) - max(j, lo)) for j in range(int(lo), min(101, int(np.ceil(hi))))) / (hi - lo))
+        assert np.abs(media.resample(x, rate, to) - np.array(want)).max() <= 0.51
+    assert len(media.resample(x[:0], 8000, 16000)) == 0
