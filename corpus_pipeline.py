@@ -2,12 +2,20 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run()
 writes as Parquet in the shared folder and reads again for the next one.
+
+All stages but the last return the columns of docs as they were, whatever their
+names; null ids and texts, repeated rows and empty tables pass through all of
+them.  The mixing stage repeats rows of smaller sources on purpose: about 1.66
+rows come out for each that goes in on the check tables, the others none less.
+The last one returns texts with their ids and their place in the mixture.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,12 +26,25 @@ from lectern.llm._common import durable
 ORACLE_SQL = None
 
 
+def same_columns(stage):
+    """The columns that stages use keep their names; others go by number meanwhile, so that none clashes."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = [c if c in ("doc_id", "text", "source", "n_chars") else f"_{i}" for i, c in enumerate(docs.columns)]
+        return stage(spark, docs.toDF(*names), sf_dir).toDF(*docs.columns)
+
+    return run
+
+
+@same_columns
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     scored = quality.score(docs, quality.learn(spark, sf_dir, docs), keep=tuple(docs.columns))
     return scored.where("predicted = 1").select(*docs.columns)
 
 
+@same_columns
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of five-word shingle sets at 0.8 or more
     stays: the one with the least id.  Documents without words all stay."""
@@ -42,22 +63,30 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return single.union(rows.where("m is not null and once").dropDuplicates(["r_id", "r_h"]).select("own.*"))
 
 
+@same_columns
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 35 words or more that occur elsewhere are cut out."""
+    """Passages of 35 words or more that occur elsewhere are cut out; n_chars, if there is such a column, follows."""
     out = substring.remove(docs)
-    changed = F.col("n_removed") > 0
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars")))
+        n = F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars"))
+        out = out.withColumn("n_chars", n.cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 
+@same_columns
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in flattened shares, in the mixture's order; smaller ones start over."""
-    return mixing.mix(docs).sortWithinPartitions("mix_position").select(*docs.columns)
+    """Sources in flattened shares, smaller ones starting over; files, and rows in them, are in the mixture's order."""
+    return mixing.ordered(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return spm.digest(docs)
+    """doc_id, file and row (the place in the mixture that was read), text, ids and their digests."""
+    try:
+        file = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1)
+        docs = docs.select("doc_id", "text", file.cast("int").alias("file"), F.col("_metadata.row_index").alias("row"))
+    except AnalysisException:  # docs are no rows of Parquet files, so they have no place
+        docs = docs.select("doc_id", "text", F.lit(None).cast("int").alias("file"), F.lit(None).cast("bigint").alias("row"))
+    return spm.digest(docs, ids=True, keep=("file", "row", "text"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

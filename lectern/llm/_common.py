@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ship
 
@@ -21,6 +22,11 @@ def arrow(spark: SparkSession) -> None:
     ship(spark)
 
 
+def schema(df: DataFrame, keep, more: str) -> T.StructType:
+    """The columns `keep` of df, whatever their names, and more ones."""
+    return T.StructType([*(T.StructField(c, df.schema[c].dataType) for c in keep), *T.StructType.fromDDL(more).fields])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names; a temporary one only where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)

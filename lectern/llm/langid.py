@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ._common import arrow, remainder
+from ._common import arrow, remainder, schema
 from ._text import LOWER, buffers, chunks
 
 SLOTS = 1 << 13
@@ -183,8 +183,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
                 [*keep, "lang_pred", "score", "ambiguous"],
             )
 
-    kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)
-    return df.select(*[df[c] for c in keep], df[text]).mapInArrow(run, f"{kinds}lang_pred string, score double, ambiguous boolean")
+    return df.select(*[df[c] for c in keep], df[text]).mapInArrow(run, schema(df, keep, "lang_pred string, score double, ambiguous boolean"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,18 +5,23 @@ weight w (of a sum of 1) is released at floor(k / w) and due at
 ceil((k + 1) / w); the earliest deadline first fills every slot and, as the
 weights sum to 1, misses none, so after any number of slots each source is less
 than one block from its target.  The schedule repeats after the weights' common
-denominator; the driver computes that many slots, or as many as the mixture has
-if those are fewer (some 20 bytes each; none is computed for a row).
-
-A source's rows, in hash order, form its blocks of `block` rows.  The mixture
-runs until every row has been placed once; smaller sources start over meanwhile
-(a new epoch), so no row is lost.  Blocks of a source wrap around its end, so
-that every block is full.
-
-A null source is a source of its own.  A source without weight (or with one of
-zero or less) has no place in the mixture: its blocks follow after the last
-slot of the others, so that its rows are not lost either.  An empty table gives an empty result; rows
-with equal hashes are ordered by id; repeated rows are placed separately.
+denominator.  The driver computes one period of it, or as many slots as the
+mixture has if those are fewer, and never more than SLOTS: where both are
+longer, the weights are first rounded to whole shares of SLOTS (by less than
+one part in a million each, one share at least), so what is broadcast is
+bounded.
+
+A source's rows, in hash order of the key, form its blocks of `block` rows.
+The mixture runs until every row has been placed once; smaller sources start
+over meanwhile (a new epoch), so no row is lost.  Blocks of a source wrap
+around its end, so that every block is full.
+
+A null source is a source of its own, and null keys are as good as others.  A
+source without weight (or with one of zero or less) has no place in the mixture:
+its blocks follow after the last slot of the others, so that its rows are not
+lost either.  An empty table gives an empty result.  Repeated rows are placed
+separately; rows of a key that occurs more than RANK_ROWS times are spread by
+their hash and the input partition that holds them, so that no task ranks all.
 """
 
 from __future__ import annotations
@@ -32,10 +37,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ._common import partitions
+
 PERIOD = 1000
+#: Slots that the driver computes and broadcasts at most.
+SLOTS = 1 << 20
 BLOCK = 64
 #: Rows that one task ranks at a time.
 RANK_ROWS = 4096
+#: Copies of a row that one task makes, and heavily repeated keys that are broadcast.
+COPIES = 1024
+HOT = 100_000
 
 
 def shares(weights: Mapping[str | None, float], period: int = PERIOD) -> dict[str | None, int]:
@@ -107,22 +119,16 @@ def flattened(counts: Mapping[str | None, int], power: float = 0.7) -> dict[str
     return {s: n**power for s, n in counts.items()}
 
 
-def mix(df: DataFrame, weights: Mapping[str | None, float] | None = None, source: str = "source", key: str = "doc_id",
-        block: int = BLOCK, period: int | None = None) -> DataFrame:
-    """The rows of df with mix_epoch, mix_block, mix_slot and mix_position.
-
-    mix_position orders the mixture: slot by slot, and by place inside a block.
-    Columns of df with these names are replaced.
-    Sources are few (their counts and shares live on the driver); rows are not
-    moved there.  With a `period`, the weights are rounded to shares() of it first.
-    """
-    spark = df.sparkSession
-    counts = {r[0]: r[1] for r in df.groupBy(df[source].alias("s")).agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return df.select("*", *(F.lit(0).cast("bigint").alias(f"mix_{c}") for c in ("epoch", "block", "slot", "position")))
+def _plan(counts: Mapping[str | None, int], weights: Mapping[str | None, float] | None, block: int, period: int | None):
+    """(slots by source and block, a row for each source, number of slots) of the mixture."""
     given = {s: (weights or {}).get(s, 0) for s in counts} if weights else flattened(counts)
     share = shares(given, period) if period else exact(given)
     need = {s: -(-n // block) for s, n in counts.items()}
+    total = sum(share.values())
+    # No source needs more slots than its blocks by its weight, and one period more for the last deadline.
+    longest = max((-(-need[s] * total // w) for s, w in share.items()), default=0) + len(share)
+    if min(total, longest) > SLOTS:
+        share = shares({s: w / total for s, w in share.items()}, SLOTS)
     slots, table, first = [], [], 0
     # Sources that have no share come after the others, in equal ones.
     for share in (share, {s: 1 for s in counts if s not in share}):
@@ -138,37 +144,95 @@ def mix(df: DataFrame, weights: Mapping[str | None, float] | None = None, source
         slots.append((sources + len(table), blocks, np.arange(len(sources))))
         table += [(len(table) + i, s, counts[s], share[s] if again else placed[s], first, period if again else len(sources), placed[s] * block, max(1, -(-counts[s] // RANK_ROWS))) for i, s in enumerate(names)]
         first += last
+    return [np.concatenate(x) for x in zip(*slots, strict=True)], table, first
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """mix_h of keys that are repeated more often than one task should rank also tells their rows and input partitions apart."""
+    hot = rows.groupBy(F.col("mix_s").alias("s1"), F.col("mix_h").alias("h1")).agg(F.count("*").alias("c1")).where(F.col("c1") > RANK_ROWS).drop("c1")
+    n = hot.count()
+    if not n:
+        return rows
+    # Few keys are repeated as often as that; if not, Spark chooses how to join them.
+    hot = hot.withColumn("hot", F.lit(True))
+    rows = rows.withColumn("mix_in", F.spark_partition_id()).join(F.broadcast(hot) if n <= HOT else hot, F.col("mix_s").eqNullSafe(F.col("s1")) & (F.col("mix_h") == F.col("h1")), "left")
+    return rows.withColumn("mix_h", F.when(F.col("hot"), F.xxhash64("mix_h", "mix_r", "mix_in")).otherwise(F.col("mix_h"))).drop("s1", "h1", "hot", "mix_in")
 
-    slots = spark.createDataFrame(pa.table([np.concatenate(x) for x in zip(*slots, strict=True)], ["t3", "k3", "mix_i"]))
+
+def mix(df: DataFrame, weights: Mapping[str | None, float] | None = None, source: str = "source", key: str = "doc_id",
+        block: int = BLOCK, period: int | None = None) -> DataFrame:
+    """The rows of df with mix_epoch, mix_block, mix_slot and mix_position.
+
+    mix_position orders the mixture: slot by slot, and by place inside a block.
+    Columns of df with these names are replaced.
+    Sources are few (their counts and shares live on the driver); rows are not
+    moved there.  With a `period`, the weights are rounded to shares() of it first.
+    """
+    return _mixed(df, weights, source, key, block, period)[0]
+
+
+def ordered(df: DataFrame, weights: Mapping[str | None, float] | None = None, source: str = "source", key: str = "doc_id", block: int = BLOCK) -> DataFrame:
+    """The rows of df alone, all columns as they were, in the mixture's order: partitions are
+    consecutive ranges of positions, and rows are sorted inside them."""
+    spark = df.sparkSession
+    # One column, so that no name can clash.
+    rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), df[source].alias("source"), df[key].alias("doc_id"))
+    out, total = _mixed(rows, weights, "source", "doc_id", block, None)
+    n = partitions(spark)
+    part = F.floor(F.col("mix_position") * n / F.lit(max(total, 1))).cast("int")
+    return out.repartitionById(n, part).sortWithinPartitions("mix_position").select("row.*")
+
+
+def _mixed(df, weights, source, key, block, period) -> tuple[DataFrame, int]:
+    spark = df.sparkSession
+    counts = {r[0]: r[1] for r in df.groupBy(df[source].cast("string").alias("s")).agg(F.count("*").alias("n")).collect()}
+    added = ("mix_epoch", "mix_block", "mix_slot", "mix_position")
+    own = [c for c in df.columns if c not in added]
+    if not counts:
+        return df.select(*own, *(F.lit(0).cast("bigint").alias(c) for c in added)), 0
+    slots, table, last = _plan(counts, weights, block, period)
+    many = any(t[6] > COPIES * t[2] for t in table)
+    slots = spark.createDataFrame(pa.table(slots, ["t3", "k3", "mix_i"]))
     table = spark.createDataFrame(
         table, "mix_t bigint, t_s string, mix_n bigint, mix_q bigint, mix_first bigint, mix_period bigint, mix_rows bigint, mix_buckets bigint",
     )
-    added = ("mix_epoch", "mix_block", "mix_slot", "mix_position")
-    own = [c for c in df.columns if c not in added]
-    rows = df.select(F.struct(*[df[c] for c in own]).alias("mix_row"), df[source].cast("string").alias("mix_s"), df[key].cast("string").alias("mix_key"))
-    # Both tables are small: a row for each source, and one for each slot of up to `block` rows.
+    whole = F.struct(*[df[c] for c in own])
+    # Maps have no hash; what else the rows hold tells them apart.
+    hashed = [df[c] for c in own if "map<" not in df.schema[c].dataType.simpleString()]
+    rows = df.select(whole.alias("mix_row"), df[source].cast("string").alias("mix_s"), df[key].cast("string").alias("mix_key"), F.xxhash64(df[key].cast("string")).alias("mix_h"), F.xxhash64(*hashed).alias("mix_r"))
+    rows = _spread(rows)
+    # Both tables are bounded: a row for each source, and SLOTS slots at most.
     rows = rows.join(F.broadcast(table), F.col("mix_s").eqNullSafe(F.col("t_s"))).drop("t_s")
-    rows = rows.withColumn("mix_h", F.xxhash64("mix_key"))
     # A place by hash: the range of the hash cuts a source into buckets of about RANK_ROWS rows.
     unit = F.col("mix_h").cast("double") / F.lit(2.0**64) + 0.5
     rows = rows.withColumn("mix_b", F.least(F.floor(unit * F.col("mix_buckets")), F.col("mix_buckets") - 1).cast("bigint"))
     sizes = rows.groupBy("mix_s", "mix_b").agg(F.count("*").alias("mix_size"))
     before = F.sum("mix_size").over(Window.partitionBy("mix_s").orderBy("mix_b").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.select(F.col("mix_s").alias("s2"), F.col("mix_b").alias("b2"), F.coalesce(before, F.lit(0)).alias("mix_before"))
-    rank = F.row_number().over(Window.partitionBy("mix_s", "mix_b").orderBy("mix_h", "mix_key"))
+    rank = F.row_number().over(Window.partitionBy("mix_s", "mix_b").orderBy("mix_h", "mix_key", "mix_r"))
     rows = rows.withColumn("mix_rank", rank - 1)
     rows = rows.join(sizes, F.col("mix_s").eqNullSafe(F.col("s2")) & (F.col("mix_b") == F.col("b2"))).drop("s2", "b2")
     rows = rows.withColumn("mix_at", F.col("mix_before") + F.col("mix_rank"))
     # Times that this row comes up among the rows that its source places.
-    times = F.floor((F.col("mix_rows") - 1 - F.col("mix_at")) / F.col("mix_n")).cast("int")
-    rows = rows.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), times))).withColumn("mix_epoch", F.col("mix_epoch").cast("bigint"))
+    rows = rows.withColumn("mix_times", F.floor((F.col("mix_rows") - 1 - F.col("mix_at")) / F.col("mix_n")).cast("int"))
+    epochs = F.explode(F.sequence(F.lit(0), "mix_times"))
+    if many:
+        # Rows of sources that start over very often are copied by many tasks, a bounded number of times by each.
+        often = F.col("mix_rows") > COPIES * F.col("mix_n")
+        few, rows = rows.where(~often).withColumn("mix_epoch", epochs), rows.where(often)
+        rows = rows.withColumn("mix_from", F.explode(F.sequence(F.lit(0), "mix_times", F.lit(COPIES)))).repartition("mix_s", "mix_at", "mix_from")
+        rows = rows.withColumn("mix_epoch", F.explode(F.sequence("mix_from", F.least("mix_times", F.col("mix_from") + COPIES - 1)))).drop("mix_from")
+        rows = rows.unionByName(few)
+    else:
+        rows = rows.withColumn("mix_epoch", epochs)
+    rows = rows.withColumn("mix_epoch", F.col("mix_epoch").cast("bigint"))
     place = F.col("mix_epoch") * F.col("mix_n") + F.col("mix_at")
     rows = rows.withColumn("mix_block", F.floor(place / F.lit(block)).cast("bigint")).withColumn("mix_in", place % block)
     rows = rows.withColumn("mix_k", F.col("mix_block") % F.col("mix_q"))
     rows = rows.join(F.broadcast(slots), (F.col("mix_t") == F.col("t3")) & (F.col("mix_k") == F.col("k3"))).drop("t3", "k3")
     rows = rows.withColumn("mix_slot", F.col("mix_first") + F.floor(F.col("mix_block") / F.col("mix_q")).cast("bigint") * F.col("mix_period") + F.col("mix_i"))
     rows = rows.withColumn("mix_position", F.col("mix_slot") * block + F.col("mix_in"))
-    return rows.select(*[F.col("mix_row")[c].alias(c) for c in own], *added)
+    return rows.select(*[F.col("mix_row")[c].alias(c) for c in own], *added), last * block
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

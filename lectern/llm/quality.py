@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import arrow, remainder
+from ._common import arrow, remainder, schema
 from ._text import LOWER, buffers, chunks, shingles, words
 
 SAMPLE = 6000
@@ -87,16 +87,16 @@ def with_statistics(df: DataFrame, text: str = "text", keep: tuple[str, ...] = (
     """The columns `keep` and a column s_<name> for each statistic."""
     arrow(df.sparkSession)
     names = [*keep, *(f"s_{x}" for x in NAMES)]
+    at = keep.index(text) if text in keep else len(keep)
 
     def run(batches):
         for b in batches:
-            data, off = buffers(b.column(len(keep)))
+            data, off = buffers(b.column(at))
             got = [statistics(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]) for lo, hi in chunks(off)]
             got = np.concatenate(got) if got else np.zeros((0, len(NAMES)))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *(pa.array(c) for c in np.ascontiguousarray(got.T))], names)
 
-    kinds = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), *(f"s_{x} double" for x in NAMES)])
-    return df.select(*[df[c] for c in keep], df[text]).mapInArrow(run, kinds)
+    return df.select(*[df[c] for c in keep], *([] if text in keep else [df[text]])).mapInArrow(run, schema(df, keep, ", ".join(f"s_{x} double" for x in NAMES)))
 
 
 Rule = tuple[tuple[str, bool, float], ...]  # (statistic, above, bound), all of which must hold
@@ -201,7 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
 
 
 def score(df: DataFrame, model: Ensemble, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep`, score (0 to 1) and predicted (1 from THRESHOLD on)."""
+    """The columns `keep` (none of a result's name), score (0 to 1) and predicted (1 from THRESHOLD on)."""
     value = model.column()
     out = with_statistics(df, keep=keep).withColumn("score", value)
     return out.select(*[f"`{c}`" for c in keep], "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

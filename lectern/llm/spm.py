@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ._common import arrow
+from ._common import arrow, schema
 
 SPACE = "▁"
 # One replacement character for each byte that is no part of a character.
@@ -314,12 +314,13 @@ def digest(df: DataFrame, path: str | None = None, ids: bool = False, keep: tupl
     arrow(df.sparkSession)
     names = ["n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"]
     lead = ["doc_id", *keep]
+    place = lead.index("text") if "text" in lead else len(lead)
 
     def run(batches):
         model = encoder(path)
         for b in batches:
             n, told, back, where, flat, ends = [], [], [], [], [], [0]
-            texts = [x or "" for x in b.column(len(lead)).to_pylist()]
+            texts = [x or "" for x in b.column(place).to_pylist()]
             for lo in range(0, len(texts), 64):
                 for count, joined, decoded, first, last, entries in model.digests(texts[lo : lo + 64]):
                     n.append(count)
@@ -334,9 +335,9 @@ def digest(df: DataFrame, path: str | None = None, ids: bool = False, keep: tupl
                 cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32))))
             yield pa.RecordBatch.from_arrays(cols, [*lead, *names, *(["ids"] if ids else [])])
 
-    kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in lead)
     extra = ", ids array<int>" if ids else ""
-    return df.select(*[df[c] for c in lead], df["text"]).mapInArrow(run, f"{kinds}n_tokens bigint, ids_sha256 string, decoded_sha256 string, spans_sha256 string{extra}")
+    rows = df.select(*[df[c] for c in lead], *([] if "text" in lead else [df["text"]]))
+    return rows.mapInArrow(run, schema(df, lead, f"n_tokens bigint, ids_sha256 string, decoded_sha256 string, spans_sha256 string{extra}"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import arrow, durable, partitions
+from ._common import arrow, durable, partitions, schema
 from ._pack import gather, groups, pack, runs, unpack
 from ._text import buffers, chunks, mix, words
 
@@ -314,8 +314,7 @@ def remove(df: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
                 new = [body[i:j].tobytes().decode() if r else None for r, i, j in zip(removed, x.tolist(), y.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(new, pa.string()), pa.array(removed, pa.int64())], ["own", "new", "n_removed"])
 
-    kind = joined.schema["own"].dataType.simpleString()
-    out = joined.mapInArrow(run, f"own {kind}, new string, n_removed bigint")
+    out = joined.mapInArrow(run, schema(joined, ["own"], "new string, n_removed bigint"))
     pick = {c: F.col("own")[c] for c in own} | {"text": F.when(F.col("n_removed") > 0, F.col("new")).otherwise(F.col("own")["text"])}
     return out.select(*[pick[c].alias(c) for c in own], "n_removed")
 
