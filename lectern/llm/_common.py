@@ -22,9 +22,18 @@ def arrow(spark: SparkSession) -> None:
     ship(spark)
 
 
+def nullable(kind: T.DataType) -> T.DataType:
+    """The type with nulls allowed everywhere, as a table read back has them."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, nullable(f.dataType)) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(nullable(kind.elementType))
+    return T.MapType(nullable(kind.keyType), nullable(kind.valueType)) if isinstance(kind, T.MapType) else kind
+
+
 def schema(df: DataFrame, keep, more: str) -> T.StructType:
     """The columns `keep` of df, whatever their names, and more ones."""
-    return T.StructType([*(T.StructField(c, df.schema[c].dataType) for c in keep), *T.StructType.fromDDL(more).fields])
+    return T.StructType([*(T.StructField(c, nullable(df.schema[c].dataType)) for c in keep), *T.StructType.fromDDL(more).fields])
 
 
 def shared_dir(spark: SparkSession) -> str:

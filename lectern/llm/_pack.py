@@ -61,3 +61,12 @@ def planes(x: np.ndarray) -> np.ndarray:
 
 def from_planes(p: np.ndarray) -> np.ndarray:
     return p[0].astype(np.uint64) << np.uint64(32) | p[1].astype(np.uint64) << np.uint64(16) | p[2].astype(np.uint64)
+
+
+def deltas(x: np.ndarray) -> np.ndarray:
+    """Sorted values as the bytes of their differences, a row for each byte of eight; the high ones are mostly zero."""
+    return np.ascontiguousarray(np.diff(x, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T)
+
+
+def from_deltas(rows: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(rows.T).view(np.uint64).ravel(), dtype=np.uint64)

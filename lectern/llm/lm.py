@@ -1,24 +1,34 @@
 """Operator 5: language-model scoring by a weighted backoff automaton.
 
-Tokens are lower-case words and one end per text.  The model is a bigram with
-Dirichlet smoothing (strength `mu`) over the add-0.1 unigram,
-
-    p(w | h) = (c(h w) + mu p(w)) / (c(h) + mu),
-
-read as an automaton: a state for each word seen in training (and the start), an
-arc for each seen bigram, and from every state a failure arc to the root that
-costs mu / (c(h) + mu) and leaves the unigram arcs to choose from.  A text is
-traversed once from left to right; its state is the last word.
+Tokens are lower-case words and one end per text.  The model has n-grams up to
+`order` words with Dirichlet smoothing, each order over the next shorter one and
+the shortest over the add-0.1 unigram:
+
+    p(w | h) = (c(h w) + mu p(w | h')) / (c(h) + mu),   h' = h without its first word.
+
+It is read as an automaton.  Its states are the histories: the root (none), each
+word that training texts go on from (and their start), and each longer history
+that occurs at least LEAST times.  A state has an arc for each word that was seen
+after it, and a failure arc to h' that costs mu / (c(h) + mu); the root has an
+arc for every word.  A text is traversed once from left to right: from its state
+the arc of the next word is taken, after as many failure arcs as that takes, the
+weights add up, and the arc leads to the longest history that is a state.  Texts
+of a block walk side by side; a long one walks in pieces, each of which starts
+from the state that the order - 1 words before it lead to, as that is all that a
+state depends on.
 
 No task holds the whole model.  Texts form blocks of some megabytes, written
 once.  Each block sends its distinct words and bigrams, with its training
 counts, to buckets by hash; a bucket sums the counts of all blocks and answers
-every block that asked.  A block then builds the part of the automaton that its
-own texts can reach, which scores them exactly as the whole one would.
+every block that asked.  Each longer order takes one more such round, in which a
+block asks for the n-grams after histories that are states.  A block then builds
+the part of the automaton that its own texts can reach, which scores them
+exactly as the whole one would.  N-grams are known by 64 bits of hash.
 
 Null text is empty: one token, the end.  Without training text every count is
 zero and the base score is that of the smoothing alone.  Rows are scored one
-by one, repeated ones alike; extra columns are ignored.
+by one, repeated ones alike, null ids too; extra columns are ignored, and the
+kept ones must not have a result's name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,75 +40,163 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
-from ._common import arrow, durable, partitions, remainder
-from ._pack import from_planes, gather, pack, planes, unpack
+from ._common import arrow, discard, durable, nullable, partitions, remainder, schema
+from ._pack import from_deltas, gather, deltas, pack, unpack
 from ._text import LOWER, buffers, chunks, mix, words
 
-MU = 64.0
-BLOCK_BYTES = 1 << 21
+ORDER = 3
+#: Smoothing of bigrams, trigrams, and what is longer.
+MU = (250.0,16.0)
+#: Occurrences of a history of two words or more that make it a state.
+LEAST = 2
+BLOCK_BYTES = 8 << 20
+#: Bytes of text whose tokens are held as one table, and tokens that walk as one piece.
+PART_BYTES = 1 << 21
+PIECE = 256
 ADD = 0.1
 _START, _END = np.uint64(0x51A7_51A7_51A7_51A7), np.uint64(0xE2D0_E2D0_E2D0_E2D0)
+_K = np.uint64(0x9E3779B97F4A7C15)
+RESULTS = "n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
 @dataclass
-class Automaton:
-    """The states and arcs that some texts can reach.
+class Tokens:
+    """The start, the words and the end of some texts as places in sorted distinct n-grams.
 
-    unigram: log10 weight of each word's arc at the root; state: count of each
-    word as a history; arcs: counts of bigrams, zero where there is no arc.
+    at[k][i] is the place in grams[k] of the k + 1 tokens up to token i, -1 where
+    its text has fewer; first[k] is a token that each n-gram ends with.  grams[0]
+    are words, the end last but one and the start last.
     """
 
-    unigram: np.ndarray
-    state: np.ndarray
-    arcs: np.ndarray
-    mu: float = MU
+    grams: list[np.ndarray]
+    at: list[np.ndarray]
+    first: list[np.ndarray]
+    text: np.ndarray
+    place: np.ndarray
 
-    def walk(self, history: np.ndarray, word: np.ndarray, arc: np.ndarray) -> np.ndarray:
-        """log10 weight of each step: from state `history` by `word`, whose arc is `arc`.
 
-        A seen arc is taken; otherwise the failure arc leads to the root and the
-        root's arc is taken.  The next state is the word, so all steps of all
-        texts are independent of the weights and are done at once.
-        """
-        held = self.state[history]
-        failure = np.log10(self.mu / (held + self.mu))
-        p = 10.0 ** self.unigram[word]
-        count = self.arcs[arc]
-        taken = np.log10((count + self.mu * p) / (held + self.mu))
-        return np.where(count > 0, taken, failure + self.unigram[word])
+def tokens(data: np.ndarray, off: np.ndarray, order: int) -> Tokens:
+    w = words(data, off)
+    n = w.counts + 2
+    last = np.cumsum(n) - 1
+    place = np.arange(int(n.sum())) - np.repeat(last + 1 - n, n)
+    h = np.full(len(place), _START, np.uint64)
+    h[last] = _END
+    inner = place > 0
+    inner[last] = False
+    h[inner] = w.hashes()
+    own, first, word = np.unique(h[inner], return_index=True, return_inverse=True)
+    at = np.full(len(h), len(own) + 1, np.int64)
+    at[inner], at[last] = word, len(own)
+    out = Tokens([np.append(own, np.array([_END, _START], np.uint64))], [at], [np.append(np.flatnonzero(inner)[first], last[:1].repeat(2))], np.repeat(np.arange(len(n)), n), place)
+    long = h
+    for k in range(1, order):
+        long = np.concatenate([long[:1], mix(long[:-1] * _K + h[1:])])
+        good = np.flatnonzero(place >= k)
+        own, first, which = np.unique(long[good], return_index=True, return_inverse=True)
+        at = np.full(len(h), -1, np.int64)
+        at[good] = which
+        out.grams.append(own)
+        out.at.append(at)
+        out.first.append(good[first])
+    return out
 
 
 @dataclass
-class _Block:
-    """Tokens of a block's texts, as indices into its distinct words and bigrams."""
-
-    words: np.ndarray  # hashes; the last but one is the end, the last the start
-    bigrams: np.ndarray
-    word: np.ndarray
-    history: np.ndarray
-    bigram: np.ndarray
-    text: np.ndarray
-    n: np.ndarray
+class Automaton:
+    """The states and arcs that some texts can reach, with weights in log10.
 
+    State 0 is the root; `root` and `after` hold the weight and the next state of
+    its arc of each word.  `keys` are state * words + word of the other arcs, in
+    order; `fail` and `cost` the failure arc of each state.
+    """
 
-def _tokens(data: np.ndarray, off: np.ndarray) -> _Block:
-    w = words(data, off)
-    n = w.counts + 1
-    last = np.cumsum(n) - 1
-    h = np.empty(int(n.sum()), np.uint64)
-    inner = np.ones(len(h), bool)
-    inner[last] = False
-    h[inner], h[last] = w.hashes(), _END
-    own, word = np.unique(h[inner], return_inverse=True)
-    at = np.full(len(h), len(own), np.int64)
-    at[inner] = word
-    history = np.empty(len(h), np.int64)
-    history[1:] = at[:-1]
-    history[last + 1 - n] = len(own) + 1
-    own = np.append(own, np.array([_END, _START], np.uint64))
-    bigrams, bigram = np.unique(mix(own[history] * np.uint64(0x9E3779B97F4A7C15) + h), return_inverse=True)
-    return _Block(own, bigrams, at, history, bigram, np.repeat(np.arange(len(n)), n), n)
+    root: np.ndarray
+    after: np.ndarray
+    keys: np.ndarray
+    weight: np.ndarray
+    to: np.ndarray
+    fail: np.ndarray
+    cost: np.ndarray
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weight and next state of one word from each state."""
+        total, end = np.zeros(len(state)), np.zeros(len(state), np.int64)
+        live, now = np.arange(len(state)), state
+        while len(live):
+            own = word[live]
+            at = np.minimum(np.searchsorted(self.keys, now * len(self.root) + own), max(len(self.keys) - 1, 0))
+            hit = (self.keys[at] == now * len(self.root) + own) & (now > 0) if len(self.keys) else np.zeros(len(live), bool)
+            low = now == 0
+            done = live[hit]
+            total[done] += self.weight[at[hit]]
+            end[done] = self.to[at[hit]]
+            done = live[low]
+            total[done] += self.root[own[low]]
+            end[done] = self.after[own[low]]
+            rest = ~(hit | low)
+            live, now = live[rest], now[rest]
+            total[live] += self.cost[now]
+            now = self.fail[now]
+        return total, end
+
+    def walk(self, t: Tokens, order: int, piece: int = PIECE) -> np.ndarray:
+        """Weight of each text, its start not counted."""
+        word, n = t.at[0], int(t.text[-1]) + 1 if len(t.text) else 0
+        begin = np.flatnonzero((t.place - 1) % piece == 0) if piece > 1 else np.flatnonzero(t.place > 0)
+        begin = begin[t.place[begin] > 0]
+        ends = np.append(np.flatnonzero(t.place == 0)[1:], len(word))
+        size = np.minimum(ends[t.text[begin]] - begin, piece)
+        turn = np.argsort(-size, kind="stable")
+        begin, size = begin[turn], size[turn]
+        state, total = np.zeros(len(begin), np.int64), np.zeros(len(begin))
+        for back in range(order - 1, 0, -1):  # what each piece follows
+            some = np.flatnonzero(t.place[begin] >= back)
+            state[some] = self.step(state[some], word[begin[some] - back])[1]
+        for i in range(int(size.max(initial=0))):
+            some = int(np.searchsorted(-size, -i, side="left"))  # pieces of more than i tokens come first
+            weight, state[:some] = self.step(state[:some], word[begin[:some] + i])
+            total[:some] += weight
+        return np.bincount(t.text[begin], total, n)
+
+
+def automaton(t: Tokens, counts: list[np.ndarray], all_tokens: int, vocabulary: int, mu: tuple[float, ...]) -> Automaton:
+    """States, arcs and failure arcs from the counts of each n-gram of `t`; counts[0] holds how often texts start, too."""
+    size, order = len(t.grams[0]), len(t.grams)
+    root = np.log10(counts[0] + ADD) - np.log10(all_tokens + ADD * (vocabulary + 1))
+    end = size - 2
+    after = np.where(counts[0] > 0, np.arange(1, size + 1), 0)
+    after[end] = 0  # nothing follows an end
+    held = [np.zeros(1), np.where(after > 0, counts[0], 0)]
+    fail, cost = [np.zeros(1, np.int64), np.zeros(size, np.int64)], [np.zeros(1), np.log10(mu[0] / (held[1] + mu[0]))]
+    keys, weights, to = [], [], []
+    p, next_, base = 10.0**root, after, 1
+    for k in range(1, order):
+        strength = mu[min(k, len(mu)) - 1]
+        i = t.first[k]
+        word, history, suffix = t.at[0][i], t.at[k - 1][i - 1], t.at[k - 1][i]
+        # A history is a state of its own, or longer than any that is.
+        from_ = np.where(held[k][history] > 0, base + history, 0)
+        c, h = counts[k], held[k][history]
+        p = np.where(from_ > 0, (c + strength * p[suffix]) / (h + strength), p[suffix])
+        base += len(t.grams[k - 1])
+        state = (c >= LEAST) & (word != end) & (k < order - 1)
+        below, next_ = next_[suffix], np.where(state, base + np.arange(len(c)), next_[suffix])
+        arc = (from_ > 0) & (c > 0)
+        keys.append((from_ * size + word)[arc])
+        weights.append(np.log10(p[arc]))
+        to.append(next_[arc])
+        if k < order - 1:
+            held.append(np.where(state, c, 0))
+            fail.append(below)
+            m = mu[min(k + 1, len(mu)) - 1]
+            cost.append(np.log10(m / (held[-1] + m)))
+    keys, weights, to = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, weights, to))
+    turn = np.argsort(keys)
+    return Automaton(root, after, keys[turn], weights[turn], to[turn], np.concatenate(fail), np.concatenate(cost))
 
 
 def _cut(h: np.ndarray, bits: int) -> np.ndarray:
@@ -107,118 +205,188 @@ def _cut(h: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(h, edges), [len(h)]])
 
 
-def score(df: DataFrame, training: Column, mu: float = MU, keep: tuple[str, ...] = ()) -> DataFrame:
+class _Block:
+    """Texts of a block in parts, and the distinct n-grams of all of them."""
+
+    def __init__(self, head, text, size: int, order: int):
+        off, train = unpack(head)
+        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(text, max_output_size=max(1, size)), np.uint8)
+        self.rows = list(chunks(off, PART_BYTES))
+        self.parts = [tokens(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], order) for lo, hi in self.rows]
+        self.learn = [train.astype(bool)[lo:hi][t.text] for (lo, hi), t in zip(self.rows, self.parts, strict=True)]
+        self.texts = int(train.sum())
+        own = [np.array([_END, _START], np.uint64)]
+        self.grams = [np.unique(np.concatenate([t.grams[0][:-2] for t in self.parts] or [np.zeros(0, np.uint64)]))]
+        self.maps = [[np.concatenate([np.searchsorted(self.grams[0], t.grams[0][:-2]), len(self.grams[0]) + np.arange(2)]) for t in self.parts]]
+        self.grams[0] = np.append(self.grams[0], own)
+        for k in range(1, order):
+            self.grams.append(np.unique(np.concatenate([t.grams[k] for t in self.parts] or [np.zeros(0, np.uint64)])))
+            self.maps.append([np.searchsorted(self.grams[k], t.grams[k]) for t in self.parts])
+
+    def counts(self, k: int) -> np.ndarray:
+        """Training counts of the block's n-grams of k + 1 words."""
+        out = np.zeros(len(self.grams[k]), np.int32)
+        for t, learn, to in zip(self.parts, self.learn, self.maps[k], strict=True):
+            at = t.at[k][learn]
+            np.add.at(out, to, np.bincount(at[at >= 0], minlength=len(to)))
+        return out
+
+    def open(self, k: int, counts: np.ndarray) -> np.ndarray:
+        """Which n-grams of k + 1 words follow a history that is a state, by the counts of all n-grams of k words."""
+        out = np.zeros(len(self.grams[k]), bool)
+        for t, to, shorter in zip(self.parts, self.maps[k], self.maps[k - 1], strict=True):
+            out[to] = counts[shorter[t.at[k - 1][t.first[k] - 1]]] >= LEAST
+        return out
+
+    def whole(self, told: list[np.ndarray], ends: int) -> list[np.ndarray]:
+        """Counts of all n-grams from those that were asked for: all words and bigrams, longer ones by open()."""
+        out = [np.concatenate([told[0], [ends, ends]]).astype(np.float64), told[1].astype(np.float64)]
+        for k in range(2, len(told)):
+            out.append(np.zeros(len(self.grams[k])))
+            out[k][self.open(k, out[k - 1])] = told[k]
+        return out
+
+
+def score(df: DataFrame, training: Column, order: int = ORDER, mu: tuple[float, ...] = MU, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns `keep`, n_tokens, n_known, train_tokens, base_score and score of each row.
 
-    `training` tells the rows to learn from.
+    `training` tells the rows to learn from; `order` is 2 or more.
     """
     spark = df.sparkSession
     arrow(spark)
-    kept = [c for c in keep if c != "doc_id"]
-    rows = df.select(df["doc_id"], *[df[c] for c in kept], F.coalesce(training, F.lit(False)).alias("train"), df["text"])
-    own = rows.schema[: 1 + len(kept)]
-    kind = ", ".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in own)
-    ids = pa.struct([(f.name, _arrow_type(f.dataType)) for f in own])
-    buckets = max(16, 2 * partitions(spark))
-    bits = int(np.ceil(np.log2(buckets)))
+    kept = ["doc_id", *(c for c in keep if c != "doc_id")]
+    rows = df.select(F.struct(*(df[c] for c in kept)).alias("own"), F.coalesce(training, F.lit(False)).alias("train"), df["text"])
+    bits = int(np.ceil(np.log2(max(16, 2 * partitions(spark)))))
     buckets = 1 << bits
+    # So that a message to a bucket has some kilobytes, whatever their number.
+    size = min(8 * BLOCK_BYTES, max(BLOCK_BYTES, buckets << 14))
+
+    kind = nullable(rows.schema["own"].dataType)
+    plain = to_arrow_type(kind)
 
     def block(batches):
-        for table in gather(batches, BLOCK_BYTES):
-            data, off = buffers(table.column(len(own) + 1))
+        for table in gather(batches, size):
+            data, off = buffers(table.column(2))
             data = LOWER[data]
-            train = np.packbits(table.column(len(own)).to_numpy().astype(bool))
-            names = pa.StructArray.from_arrays([table.column(i).combine_chunks().cast(ids[i].type) for i in range(len(own))], fields=list(ids))
-            for lo, hi in chunks(off, BLOCK_BYTES):
-                some = np.unpackbits(train, count=len(off) - 1)[lo:hi]
+            train = table.column(1).to_numpy().astype(bool)
+            names = table.column(0).combine_chunks()
+            names = pa.concat_arrays(names.chunks) if isinstance(names, pa.ChunkedArray) else names
+            names = names.cast(plain)
+            for lo, hi in chunks(off, size):
                 part = data[off[lo] : off[hi]].tobytes()
+                own = pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), names.slice(lo, hi - lo))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([names[lo:hi].to_pylist()], pa.list_(ids)), pa.array([pack(off[lo : hi + 1] - off[lo], some)], pa.binary()),
+                    [own, pa.array([pack(off[lo : hi + 1] - off[lo], train[lo:hi])], pa.binary()),
                      pa.array([zstandard.ZstdCompressor(level=3).compress(part)], pa.binary()), pa.array([len(part)], pa.int64())],
                     ["names", "head", "text", "size"],
                 )
 
-    blocks = rows.mapInArrow(block, f"names array<struct<{kind}>>, head binary, text binary, size bigint")
-    blocks = durable(blocks.withColumn("block", F.monotonically_increasing_id()), spark)
-
-    def load(head, text, size):
-        off, train = unpack(head)
-        raw = zstandard.ZstdDecompressor().decompress(text, max_output_size=max(1, size))
-        return _tokens(np.frombuffer(raw, np.uint8), off), train.astype(bool)
-
-    def ask(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                t, train = load(b.column(1)[i].as_py(), b.column(2)[i].as_py(), b.column(3)[i].as_py())
-                learn = train[t.text]
-                once = np.bincount(t.word[learn], minlength=len(t.words))[:-2].astype(np.int32)
-                twice = np.bincount(t.bigram[learn], minlength=len(t.bigrams)).astype(np.int32)
-                one, two = _cut(t.words[:-2], bits), _cut(t.bigrams, bits)
-                blobs = [
-                    pack(t.words[x:y], once[x:y], planes(t.bigrams[z:u]), twice[z:u])
-                    for x, y, z, u in zip(one[:-1], one[1:], two[:-1], two[1:], strict=True)
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([b.column(0)[i].as_py()] * (buckets + 1), pa.int64()), pa.array([*range(buckets), -1], pa.int32()), pa.array([*blobs, pack(int(train.sum()))], pa.binary())],
-                    ["block", "bucket", "blob"],
-                )
+    layout = T.StructType([T.StructField("names", T.ArrayType(kind)), *T.StructType.fromDDL("head binary, text binary, size bigint").fields])
+    blocks = rows.mapInArrow(block, layout)
+    held = durable(blocks.withColumn("block", F.monotonically_increasing_id()).withColumn("told", F.lit(None).cast("binary")), spark)
+
+    def load(row, longest):
+        return _Block(row["head"], row["text"], row["size"], longest)
+
+    def messages(number: int, lists: list[tuple[np.ndarray, np.ndarray]], texts: int | None) -> pa.RecordBatch:
+        cuts = [_cut(h, bits) for h, _ in lists]
+        blobs = [pack(*(x for (h, c), at in zip(lists, cuts, strict=True) for x in (deltas(h[at[b] : at[b + 1]]), c[at[b] : at[b + 1]]))) for b in range(buckets)]
+        to = list(range(buckets))
+        if texts is not None:
+            to, blobs = [*to, -1], [*blobs, pack(texts)]
+        return pa.RecordBatch.from_arrays([pa.array([number] * len(to), pa.int64()), pa.array(to, pa.int32()), pa.array(blobs, pa.binary())], ["block", "bucket", "blob"])
+
+    def ask(longest: int, ends: int):
+        def run(batches):
+            for b in batches:
+                for i in range(b.num_rows):
+                    row = {c: b.column(j)[i].as_py() for j, c in enumerate(b.schema.names)}
+                    own = load(row, longest)
+                    if longest == 2:
+                        yield messages(row["block"], [(own.grams[0][:-2], own.counts(0)[:-2]), (own.grams[1], own.counts(1))], own.texts)
+                    else:
+                        k = longest - 1
+                        asked = own.open(k, own.whole(list(unpack(row["told"])), ends)[k - 1])
+                        yield messages(row["block"], [(own.grams[k][asked], own.counts(k)[asked])], None)
+
+        return run
 
     def answer(key, table):
-        if key[0].as_py() < 0:  # the ends of training texts
+        """The counts of all blocks, to each of them; and of words their sum and number."""
+        bucket = key[0].as_py()
+        if bucket < 0:  # the texts to learn from
             ends = sum(unpack(x.as_py())[0] for x in table.column("blob"))
             return pa.table({"block": pa.array([-1], pa.int64()), "bucket": pa.array([-1], pa.int32()), "blob": pa.array([None], pa.binary()), "n": pa.array([ends]), "v": pa.array([int(ends > 0)])})
         got = [unpack(x.as_py()) for x in table.column("blob")]
-        replies = []
-        totals = []
-        for which in (0, 2):
-            h = [from_planes(g[which]) if which else g[which] for g in got]
+        replies, sums = [], []
+        for which in range(0, len(got[0]), 2):
+            h = [from_deltas(g[which]) for g in got]
             size = np.cumsum([0, *map(len, h)])
             distinct, at = np.unique(np.concatenate(h), return_inverse=True)
             total = np.bincount(at, np.concatenate([g[which + 1] for g in got]), len(distinct)).astype(np.int64)
-            totals.append(total)
+            sums.append(total)
             told = total[at]
             replies.append([told[x:y] for x, y in zip(size[:-1], size[1:], strict=True)])
-        block_ = [*table.column("block").to_pylist(), -1]
-        blobs = [*(pack(_small(a), _small(b)) for a, b in zip(*replies, strict=True)), None]
+        blocks_ = [*table.column("block").to_pylist(), -1]
+        blobs = [*(pack(*map(_small, r)) for r in zip(*replies, strict=True)), None]
         zero = [0] * len(got)
         return pa.table({
-            "block": pa.array(block_, pa.int64()), "bucket": pa.array([key[0].as_py()] * len(block_), pa.int32()), "blob": pa.array(blobs, pa.binary()),
-            "n": pa.array([*zero, int(totals[0].sum())], pa.int64()), "v": pa.array([*zero, int((totals[0] > 0).sum())], pa.int64()),
+            "block": pa.array(blocks_, pa.int64()), "bucket": pa.array([bucket] * len(blocks_), pa.int32()), "blob": pa.array(blobs, pa.binary()),
+            "n": pa.array([*zero, int(sums[0].sum())], pa.int64()), "v": pa.array([*zero, int((sums[0] > 0).sum())], pa.int64()),
         })
 
-    asked = blocks.select("block", "head", "text", "size").mapInArrow(ask, "block bigint, bucket int, blob binary")
-    told = durable(asked.groupBy("bucket").applyInArrow(answer, "block bigint, bucket int, blob binary, n bigint, v bigint"), spark)
-    sums = told.where("block = -1").agg(F.sum("n"), F.sum("v"), F.sum(F.when(F.col("bucket") == -1, F.col("n")))).first()
-    tokens, vocabulary, ends = (int(x or 0) for x in sums)
+    def joined(left, right) -> list[np.ndarray]:
+        """All counts that a block has been told so far."""
+        turn = np.argsort(right.column("bucket").to_numpy())
+        replies = [unpack(right.column("blob")[int(i)].as_py()) for i in turn]
+        before = left.column("told")[0].as_py()
+        return [*(unpack(before) if before is not None else ()), *(_small(np.concatenate(x)) for x in zip(*replies, strict=True))]
+
+    full = T.StructType([*layout.fields, *T.StructType.fromDDL("block bigint, told binary").fields])
+    result = schema(df, kept, RESULTS)
+    carried, final = to_arrow_schema(full), to_arrow_schema(result)
+
+    def enrich(left, right):
+        if not left.num_rows:
+            return carried.empty_table()
+        told = pa.array([pack(*joined(left, right))], pa.binary())
+        return pa.table([*(left.column(f.name) for f in carried if f.name != "told"), told], [f.name for f in carried])
+
+    tokens_ = vocabulary = ends = 0
+    for longest in range(2, order + 1):
+        asked = held.select("block", "head", "text", "size", "told").mapInArrow(ask(longest, ends), "block bigint, bucket int, blob binary")
+        told = durable(asked.groupBy("bucket").applyInArrow(answer, "block bigint, bucket int, blob binary, n bigint, v bigint"), spark)
+        if longest == 2:
+            found = told.where("block = -1").agg(F.sum("n"), F.sum("v"), F.sum(F.when(F.col("bucket") == -1, F.col("n")))).first()
+            tokens_, vocabulary, ends = (int(x or 0) for x in found)
+        both = held.groupBy("block").cogroup(told.where("block >= 0").select("block", "bucket", "blob").groupBy("block"))
+        if longest < order:
+            before, held = held, durable(both.applyInArrow(enrich, full), spark)
+            discard(before, spark)
+            discard(told, spark)
 
     def finish(left, right):
         if not left.num_rows:
-            return pa.table({c: pa.array([], t) for c, t in (*((f.name, f.type) for f in ids), *_RESULT)})
-        t, _ = load(left.column("head")[0].as_py(), left.column("text")[0].as_py(), left.column("size")[0].as_py())
-        order = np.argsort(right.column("bucket").to_numpy())
-        replies = [unpack(right.column("blob")[int(i)].as_py()) for i in order]
-        count = np.concatenate([*(r[0] for r in replies), [ends, ends]]).astype(np.float64)
-        arcs = np.concatenate([r[1] for r in replies]).astype(np.float64)
-        bottom = np.log10(tokens + ADD * (vocabulary + 1))
-        unigram = np.log10(count + ADD) - bottom
-        state = count.copy()
-        state[-2] = 0  # nothing follows an end
-        step = Automaton(unigram, state, arcs, mu).walk(t.history, t.word, t.bigram)
-        n = len(t.n)
+            return final.empty_table()
+        row = {c: left.column(c)[0].as_py() for c in ("head", "text", "size")}
+        own = load(row, order)
+        counts = own.whole(joined(left, right), ends)
+        out = []
+        for j, t in enumerate(own.parts):
+            mine = [c[own.maps[k][j]] for k, c in enumerate(counts)]
+            model = automaton(t, mine, tokens_, vocabulary, mu)
+            n = int(t.text[-1]) + 1
+            said = np.flatnonzero(t.place > 0)
+            text, word = t.text[said], t.at[0][said]
+            out.append((np.bincount(text, minlength=n), np.bincount(text, mine[0][word] > 0, n).astype(np.int64), np.bincount(text, model.root[word], n), model.walk(t, order)))
+        size, known, base, total = (np.concatenate(x) for x in zip(*out, strict=True))
         names = left.column("names").combine_chunks().flatten()
-        cols = [names.field(i) for i in range(len(own))]
-        known = np.bincount(t.text, (count[t.word] > 0).astype(float), n).astype(np.int64)
-        cols += [pa.array(t.n.astype(np.int64)), pa.array(known), pa.array(np.full(n, tokens, np.int64)), pa.array(np.bincount(t.text, unigram[t.word], n)), pa.array(np.bincount(t.text, step, n))]
-        return pa.table(cols, [*(f.name for f in own), *(c for c, _ in _RESULT)])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own)
-    text = blocks.select("block", "names", "head", "text", "size").groupBy("block")
-    return text.cogroup(told.where("block >= 0").select("block", "bucket", "blob").groupBy("block")).applyInArrow(
-        finish, f"{schema}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    )
-
+        names = names.flatten() if not pa.types.is_struct(names.type) else names
+        cols = [names.field(i) for i in range(len(kept))]
+        cols += [pa.array(size.astype(np.int64)), pa.array(known), pa.array(np.full(len(size), tokens_, np.int64)), pa.array(base), pa.array(total)]
+        return pa.table(cols, [f.name for f in final])
 
-_RESULT = (("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))
+    return both.applyInArrow(finish, result)
 
 
 def _small(x: np.ndarray) -> np.ndarray:
@@ -226,12 +394,6 @@ def _small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.int64)
 
 
-def _arrow_type(kind):
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(kind)
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     left = remainder(F.col("doc_id"), 10)

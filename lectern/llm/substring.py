@@ -24,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ._common import arrow, durable, partitions, schema
+from ._common import arrow, durable, nullable, partitions, schema
 from ._pack import gather, groups, pack, runs, unpack
 from ._text import buffers, chunks, mix, words
 
@@ -305,14 +306,16 @@ def remove(df: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     becomes its kept words joined by spaces, another stays as it is; n_removed is added."""
     own = [c for c in df.columns if c != "n_removed"]
     joined = _with_ranges(df, window, gram, own)
+    plain = to_arrow_type(nullable(joined.schema["own"].dataType))
 
     def run(batches):
         for b in batches:
+            held = b.column(0).cast(plain)
             data, off = buffers(b.column(1))
             for lo, hi in chunks(off):
                 _, removed, body, x, y = _kept(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], b.column(2)[lo:hi])
                 new = [body[i:j].tobytes().decode() if r else None for r, i, j in zip(removed, x.tolist(), y.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(new, pa.string()), pa.array(removed, pa.int64())], ["own", "new", "n_removed"])
+                yield pa.RecordBatch.from_arrays([held[lo:hi], pa.array(new, pa.string()), pa.array(removed, pa.int64())], ["own", "new", "n_removed"])
 
     out = joined.mapInArrow(run, schema(joined, ["own"], "new string, n_removed bigint"))
     pick = {c: F.col("own")[c] for c in own} | {"text": F.when(F.col("n_removed") > 0, F.col("new")).otherwise(F.col("own")["text"])}

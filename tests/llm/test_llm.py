@@ -170,33 +170,6 @@ def test_character_map_takes_the_longest_prefix():
     assert m.replacement(2) == b"2"
 
 
-def test_lm_equals_brute_force(docs):
-    rows = [r for r in docs.collect() if r.doc_id is not None]
-    train = lambda i: zlib.crc32(str(i).encode()) % 10 != 0
-    c, b, starts = collections.Counter(), collections.Counter(), 0
-    for r in rows:
-        if train(r.doc_id):
-            w = [*words(r.text), None]
-            c.update(w)
-            b.update(zip(["", *w], w, strict=False))
-            starts += 1
-    n, v = sum(c.values()), len(c)
-    got = lm.score(docs.where("doc_id is not null"), lm.remainder(F.col("doc_id"), 10) != 0, keep=("own",)).collect()
-    want = {}
-    for r in rows:
-        w, base, score, h = [*words(r.text), None], 0.0, 0.0, ""
-        for x in w:
-            p = (c[x] + 0.1) / (n + 0.1 * (v + 1))
-            base += np.log10(p)
-            score += np.log10((b[h, x] + lm.MU * p) / ((starts if h == "" else c[h]) + lm.MU))
-            h = x
-        want[r.doc_id] = (len(w), sum(c[x] > 0 for x in w), n, base, score)
-    assert len(got) == len(rows)
-    for r in got:
-        assert (r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:3]
-        assert (r.base_score, r.score) == pytest.approx(want[r.doc_id][3:])
-
-
 def vectors(spark):
     r = np.random.default_rng(3)
     base = r.normal(size=(12, 16))
