@@ -44,7 +44,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from ._common import arrow, discard, durable, nullable, partitions, remainder, schema
-from ._pack import from_deltas, gather, deltas, pack, unpack
+from ._pack import deltas, distinct, from_deltas, gather, pack, union, unpack
 from ._text import LOWER, buffers, chunks, mix, words
 
 ORDER = 3
@@ -88,7 +88,7 @@ def tokens(data: np.ndarray, off: np.ndarray, order: int) -> Tokens:
     inner = place > 0
     inner[last] = False
     h[inner] = w.hashes()
-    own, first, word = np.unique(h[inner], return_index=True, return_inverse=True)
+    own, first, word = distinct(h[inner])
     at = np.full(len(h), len(own) + 1, np.int64)
     at[inner], at[last] = word, len(own)
     out = Tokens([np.append(own, np.array([_END, _START], np.uint64))], [at], [np.append(np.flatnonzero(inner)[first], last[:1].repeat(2))], np.repeat(np.arange(len(n)), n), place)
@@ -96,7 +96,7 @@ def tokens(data: np.ndarray, off: np.ndarray, order: int) -> Tokens:
     for k in range(1, order):
         long = np.concatenate([long[:1], mix(long[:-1] * _K + h[1:])])
         good = np.flatnonzero(place >= k)
-        own, first, which = np.unique(long[good], return_index=True, return_inverse=True)
+        own, first, which = distinct(long[good])
         at = np.full(len(h), -1, np.int64)
         at[good] = which
         out.grams.append(own)
@@ -216,11 +216,11 @@ class _Block:
         self.learn = [train.astype(bool)[lo:hi][t.text] for (lo, hi), t in zip(self.rows, self.parts, strict=True)]
         self.texts = int(train.sum())
         own = [np.array([_END, _START], np.uint64)]
-        self.grams = [np.unique(np.concatenate([t.grams[0][:-2] for t in self.parts] or [np.zeros(0, np.uint64)]))]
+        self.grams = [union([t.grams[0][:-2] for t in self.parts])]
         self.maps = [[np.concatenate([np.searchsorted(self.grams[0], t.grams[0][:-2]), len(self.grams[0]) + np.arange(2)]) for t in self.parts]]
         self.grams[0] = np.append(self.grams[0], own)
         for k in range(1, order):
-            self.grams.append(np.unique(np.concatenate([t.grams[k] for t in self.parts] or [np.zeros(0, np.uint64)])))
+            self.grams.append(union([t.grams[k] for t in self.parts]))
             self.maps.append([np.searchsorted(self.grams[k], t.grams[k]) for t in self.parts])
 
     def counts(self, k: int) -> np.ndarray:
@@ -228,7 +228,7 @@ class _Block:
         out = np.zeros(len(self.grams[k]), np.int32)
         for t, learn, to in zip(self.parts, self.learn, self.maps[k], strict=True):
             at = t.at[k][learn]
-            np.add.at(out, to, np.bincount(at[at >= 0], minlength=len(to)))
+            out[to] += np.bincount(at[at >= 0], minlength=len(to)).astype(np.int32)  # no place twice
         return out
 
     def open(self, k: int, counts: np.ndarray) -> np.ndarray:
@@ -322,8 +322,8 @@ def score(df: DataFrame, training: Column, order: int = ORDER, mu: tuple[float,
         for which in range(0, len(got[0]), 2):
             h = [from_deltas(g[which]) for g in got]
             size = np.cumsum([0, *map(len, h)])
-            distinct, at = np.unique(np.concatenate(h), return_inverse=True)
-            total = np.bincount(at, np.concatenate([g[which + 1] for g in got]), len(distinct)).astype(np.int64)
+            held, _, at = distinct(np.concatenate(h))
+            total = np.bincount(at, np.concatenate([g[which + 1] for g in got]), len(held)).astype(np.int64)
             sums.append(total)
             told = total[at]
             replies.append([told[x:y] for x, y in zip(size[:-1], size[1:], strict=True)])
