@@ -49,15 +49,15 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def durable(df: DataFrame, spark: SparkSession, few: bool = False) -> DataFrame:
+def durable(df: DataFrame, spark: SparkSession, few: bool = False, level: int = 3) -> DataFrame:
     """Cut the lineage through a table in the shared folder, read back from there.
 
-    `few`: narrow rows that need no file for each shuffle partition.
+    `few`: narrow rows that need no file for each shuffle partition; `level`: of compression.
     """
     if few:
         df = df.repartition(max(1, partitions(spark) // 16))
     path = f"{shared_dir(spark).rstrip('/')}/lectern-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lectern_path = path
     return out

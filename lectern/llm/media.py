@@ -33,6 +33,8 @@ UNIT = 576
 RATES = range(1000, 192_001)
 #: Output samples handled at once by the resampler.
 PIECE = 1 << 18
+#: Compression of the tables of files and PCM.
+LEVEL = 9
 #: ADPCM blocks that step together.
 BLOCKS = 1 << 11
 
@@ -267,9 +269,9 @@ def digest(df: DataFrame, rate: int = 16000, to: int = 8000) -> DataFrame:
             told = [f"{level(x.as_buffer())};alaw_crc={a};adpcm_crc={c}" for x, a, c in zip(b.column(at), b.column(at - 2).to_pylist(), b.column(at - 1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[: at - 2], pa.array(told, pa.string())], [*b.schema.names[: at - 2], "feature"])
 
-    stored = durable(store(df, rate=rate), spark)
+    stored = durable(store(df, rate=rate), spark, level=LEVEL)
     kind = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string"
-    pcm = durable(_some(stored, "doc_id", ("n_bytes", "media"), read, _READ, kind.replace("doc_id", "key") + ", alaw_crc bigint, adpcm_crc bigint, pcm binary"), spark)
+    pcm = durable(_some(stored, "doc_id", ("n_bytes", "media"), read, _READ, kind.replace("doc_id", "key") + ", alaw_crc bigint, adpcm_crc bigint, pcm binary"), spark, level=LEVEL)
     discard(stored, spark)
     return pcm.mapInArrow(run, f"{kind}, feature string")
 
