@@ -55,7 +55,7 @@ LEAST = 2
 BLOCK_BYTES = 8 << 20
 #: Bytes of text whose tokens are held as one table, and tokens that walk as one piece.
 PART_BYTES = 1 << 21
-PIECE = 256
+PIECE = 128
 ADD = 0.1
 _START, _END = np.uint64(0x51A7_51A7_51A7_51A7), np.uint64(0xE2D0_E2D0_E2D0_E2D0)
 _K = np.uint64(0x9E3779B97F4A7C15)
