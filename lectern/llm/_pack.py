@@ -65,12 +65,6 @@ def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return held[new], order[new], which
 
 
-def union(some: list[np.ndarray]) -> np.ndarray:
-    """Sorted distinct values of all arrays."""
-    held = np.sort(np.concatenate(some or [np.zeros(0, np.uint64)]))
-    return held[runs(held)]
-
-
 def planes(x: np.ndarray) -> np.ndarray:
     """The low 48 bits of each value as three rows of 16 bits, the high one first; sorted values compress well."""
     return np.stack([(x >> np.uint64(s)).astype(np.uint16) for s in (32, 16, 0)])

@@ -44,7 +44,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from ._common import arrow, discard, durable, nullable, partitions, remainder, schema
-from ._pack import deltas, distinct, from_deltas, gather, pack, union, unpack
+from ._pack import deltas, distinct, from_deltas, gather, pack, unpack
 from ._text import LOWER, buffers, chunks, mix, words
 
 ORDER = 3
@@ -78,7 +78,8 @@ class Tokens:
     place: np.ndarray
 
 
-def tokens(data: np.ndarray, off: np.ndarray, order: int) -> Tokens:
+def tokens(data: np.ndarray, off: np.ndarray, order: int, single: bool = True) -> Tokens:
+    """`single` tells whether single words are listed, too; without them grams[0], at[0] and first[0] are empty."""
     w = words(data, off)
     n = w.counts + 2
     last = np.cumsum(n) - 1
@@ -88,10 +89,14 @@ def tokens(data: np.ndarray, off: np.ndarray, order: int) -> Tokens:
     inner = place > 0
     inner[last] = False
     h[inner] = w.hashes()
-    own, first, word = distinct(h[inner])
-    at = np.full(len(h), len(own) + 1, np.int64)
-    at[inner], at[last] = word, len(own)
-    out = Tokens([np.append(own, np.array([_END, _START], np.uint64))], [at], [np.append(np.flatnonzero(inner)[first], last[:1].repeat(2))], np.repeat(np.arange(len(n)), n), place)
+    none = np.zeros(0, np.int64)
+    out = Tokens([none.view(np.uint64)], [none], [none], np.repeat(np.arange(len(n)), n), place)
+    if single:
+        own, first, word = distinct(h[inner])
+        at = np.full(len(h), len(own) + 1, np.int64)
+        at[inner], at[last] = word, len(own)
+        out.grams[0], out.at[0] = np.append(own, np.array([_END, _START], np.uint64)), at
+        out.first[0] = np.append(np.flatnonzero(inner)[first], last[:1].repeat(2))
     long = h
     for k in range(1, order):
         long = np.concatenate([long[:1], mix(long[:-1] * _K + h[1:])])
@@ -111,12 +116,14 @@ class Automaton:
 
     State 0 is the root; `root` and `after` hold the weight and the next state of
     its arc of each word.  `keys` are state * words + word of the other arcs, in
-    order; `fail` and `cost` the failure arc of each state.
+    order, with a last one that no arc has; those of a state start at `begin`.
+    `fail` and `cost` are the failure arc of each state.
     """
 
     root: np.ndarray
     after: np.ndarray
     keys: np.ndarray
+    begin: np.ndarray
     weight: np.ndarray
     to: np.ndarray
     fail: np.ndarray
@@ -128,8 +135,11 @@ class Automaton:
         live, now = np.arange(len(state)), state
         while len(live):
             own = word[live]
-            at = np.minimum(np.searchsorted(self.keys, now * len(self.root) + own), max(len(self.keys) - 1, 0))
-            hit = (self.keys[at] == now * len(self.root) + own) & (now > 0) if len(self.keys) else np.zeros(len(live), bool)
+            key, at = now * len(self.root) + own, self.begin[now]
+            hit = self.keys[at] == key
+            far = np.flatnonzero(~hit & (self.begin[now + 1] - at > 1))  # most states have one arc, which needs no search
+            at[far] = np.searchsorted(self.keys, key[far])
+            hit[far] = self.keys[at[far]] == key[far]
             low = now == 0
             done = live[hit]
             total[done] += self.weight[at[hit]]
@@ -176,27 +186,32 @@ def automaton(t: Tokens, counts: list[np.ndarray], all_tokens: int, vocabulary:
     p, next_, base = 10.0**root, after, 1
     for k in range(1, order):
         strength = mu[min(k, len(mu)) - 1]
-        i = t.first[k]
+        c, i = counts[k], t.first[k]
+        last = k == order - 1
+        some = np.flatnonzero(c > 0) if last else slice(None)  # no longer n-gram asks for the others
+        c, i = c[some], i[some]
         word, history, suffix = t.at[0][i], t.at[k - 1][i - 1], t.at[k - 1][i]
         # A history is a state of its own, or longer than any that is.
-        from_ = np.where(held[k][history] > 0, base + history, 0)
-        c, h = counts[k], held[k][history]
-        p = np.where(from_ > 0, (c + strength * p[suffix]) / (h + strength), p[suffix])
-        base += len(t.grams[k - 1])
-        state = (c >= LEAST) & (word != end) & (k < order - 1)
-        below, next_ = next_[suffix], np.where(state, base + np.arange(len(c)), next_[suffix])
-        arc = (from_ > 0) & (c > 0)
-        keys.append((from_ * size + word)[arc])
+        h = held[k][history]
+        p = np.where(h > 0, (c + strength * p[suffix]) / (h + strength), p[suffix])
+        start, base = base, base + len(t.grams[k - 1])
+        below = next_[suffix]
+        state = (c >= LEAST) & (word != end) & (not last)
+        next_ = np.where(state, base + np.arange(len(c)), below)
+        arc = np.flatnonzero((h > 0) & (c > 0))
+        keys.append((start + history[arc]) * size + word[arc])
         weights.append(np.log10(p[arc]))
         to.append(next_[arc])
-        if k < order - 1:
+        if not last:
             held.append(np.where(state, c, 0))
             fail.append(below)
             m = mu[min(k + 1, len(mu)) - 1]
             cost.append(np.log10(m / (held[-1] + m)))
     keys, weights, to = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, weights, to))
     turn = np.argsort(keys)
-    return Automaton(root, after, keys[turn], weights[turn], to[turn], np.concatenate(fail), np.concatenate(cost))
+    fail = np.concatenate(fail)
+    begin = np.append(0, np.cumsum(np.bincount(keys // size, minlength=len(fail))))
+    return Automaton(root, after, np.append(keys[turn], np.iinfo(np.int64).max), begin, weights[turn], to[turn], fail, np.concatenate(cost))
 
 
 def _cut(h: np.ndarray, bits: int) -> np.ndarray:
@@ -208,20 +223,21 @@ def _cut(h: np.ndarray, bits: int) -> np.ndarray:
 class _Block:
     """Texts of a block in parts, and the distinct n-grams of all of them."""
 
-    def __init__(self, head, text, size: int, order: int):
+    def __init__(self, head, text, size: int, order: int, single: bool = True):
         off, train = unpack(head)
         raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(text, max_output_size=max(1, size)), np.uint8)
         self.rows = list(chunks(off, PART_BYTES))
-        self.parts = [tokens(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], order) for lo, hi in self.rows]
+        self.parts = [tokens(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], order, single) for lo, hi in self.rows]
         self.learn = [train.astype(bool)[lo:hi][t.text] for (lo, hi), t in zip(self.rows, self.parts, strict=True)]
         self.texts = int(train.sum())
-        own = [np.array([_END, _START], np.uint64)]
-        self.grams = [union([t.grams[0][:-2] for t in self.parts])]
-        self.maps = [[np.concatenate([np.searchsorted(self.grams[0], t.grams[0][:-2]), len(self.grams[0]) + np.arange(2)]) for t in self.parts]]
-        self.grams[0] = np.append(self.grams[0], own)
-        for k in range(1, order):
-            self.grams.append(union([t.grams[k] for t in self.parts]))
-            self.maps.append([np.searchsorted(self.grams[k], t.grams[k]) for t in self.parts])
+        self.grams, self.maps = [], []
+        for k in range(order):
+            ends = 2 if k == 0 and single else 0  # the end and the start stay behind the words
+            some = [t.grams[k][: len(t.grams[k]) - ends] for t in self.parts]
+            own, _, which = distinct(np.concatenate(some))
+            which = np.split(which, np.cumsum([len(x) for x in some])[:-1])
+            self.grams.append(np.concatenate([own, self.parts[0].grams[k][-2:]]) if ends else own)
+            self.maps.append([np.concatenate([x, len(own) + np.arange(ends)]) for x in which])
 
     def counts(self, k: int) -> np.ndarray:
         """Training counts of the block's n-grams of k + 1 words."""
@@ -285,8 +301,8 @@ def score(df: DataFrame, training: Column, order: int = ORDER, mu: tuple[float,
     blocks = rows.mapInArrow(block, layout)
     held = durable(blocks.withColumn("block", F.monotonically_increasing_id()).withColumn("told", F.lit(None).cast("binary")), spark)
 
-    def load(row, longest):
-        return _Block(row["head"], row["text"], row["size"], longest)
+    def load(row, longest, single=True):
+        return _Block(row["head"], row["text"], row["size"], longest, single)
 
     def messages(number: int, lists: list[tuple[np.ndarray, np.ndarray]], texts: int | None) -> pa.RecordBatch:
         cuts = [_cut(h, bits) for h, _ in lists]
@@ -301,7 +317,7 @@ def score(df: DataFrame, training: Column, order: int = ORDER, mu: tuple[float,
             for b in batches:
                 for i in range(b.num_rows):
                     row = {c: b.column(j)[i].as_py() for j, c in enumerate(b.schema.names)}
-                    own = load(row, longest)
+                    own = load(row, longest, longest == 2)  # words are asked for once
                     if longest == 2:
                         yield messages(row["block"], [(own.grams[0][:-2], own.counts(0)[:-2]), (own.grams[1], own.counts(1))], own.texts)
                     else:
