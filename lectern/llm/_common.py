@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -22,6 +23,29 @@ def arrow(spark: SparkSession) -> None:
     ship(spark)
 
 
+def release() -> None:
+    """Give freed memory back to the system, since workers wait between tasks and go on to other operators."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(run):
+    """A function over batches that releases what its task freed."""
+
+    def then_release(batches):
+        yield from run(batches)
+        release()
+
+    return then_release
+
+
+def tidied(out):
+    """What a function over one group returned, after what it freed is released."""
+    release()
+    return out
+
+
 def nullable(kind: T.DataType) -> T.DataType:
     """The type with nulls allowed everywhere, as a table read back has them."""
     if isinstance(kind, T.StructType):

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import arrow, components, durable, partitions
+from ._common import arrow, components, durable, partitions, tidied, tidy
 from ._pack import from_planes, gather, groups, pack, planes, runs, unpack
 from ._text import LOWER, buffers, chunks, mix, shingles, words
 
@@ -51,8 +51,10 @@ def sets(data: np.ndarray, off: np.ndarray, k: int):
     if len(short):
         whole = [int(mix(np.array([hash_sequence(h[w.per_doc[i] : w.per_doc[i + 1]])], np.uint64))[0]) for i in short]
         s, text = np.concatenate([s, np.array(whole, np.uint64)]), np.concatenate([text, short])
+    del low, w, h, at  # as large as what follows
     order = np.lexsort((s, text))
     s, text = s[order], text[order]
+    del order
     first = runs(text, s)
     s, text = s[first], text[first]
     n = len(off) - 1
@@ -82,7 +84,7 @@ def classes(df: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], b.column(1)[lo:hi], pa.array(size, pa.int64()), pa.array(name, pa.int64())], ["doc_id", "h", "n_shingles", "class"])
 
     rows = df.select(df["doc_id"], F.xxhash64(df["text"]), df["text"])
-    return rows.mapInArrow(run, "doc_id bigint, h bigint, n_shingles bigint, class bigint")
+    return rows.mapInArrow(tidy(run), "doc_id bigint, h bigint, n_shingles bigint, class bigint")
 
 
 def _alike(small, large, num: int, den: int):
@@ -170,9 +172,9 @@ def survivors(df: DataFrame, k: int, num: int, den: int) -> DataFrame:
         kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
         return pa.table({c: pa.array(list(x), t) for c, x, t in zip(("class", "n", "shared", "prefix"), cols, kinds, strict=True)})
 
-    sent = df.select(df["text"]).mapInArrow(cut, "fragment int, blob binary")
-    held = sent.groupBy("fragment").applyInArrow(share, "part int, blob binary")
-    return held.groupBy("part").applyInArrow(choose, "class bigint, n int, shared binary, prefix binary")
+    sent = df.select(df["text"]).mapInArrow(tidy(cut), "fragment int, blob binary")
+    held = sent.groupBy("fragment").applyInArrow(lambda key, table: tidied(share(key, table)), "part int, blob binary")
+    return held.groupBy("part").applyInArrow(lambda table: tidied(choose(table)), "class bigint, n int, shared binary, prefix binary")
 
 
 def clusters(able: DataFrame) -> DataFrame:
@@ -307,7 +309,7 @@ def links(able: DataFrame, copies: DataFrame, num: int, den: int) -> DataFrame:
                 c.append(0)
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "n": pa.array(c, pa.int64())})
 
-    return rows.groupBy("part").applyInArrow(verify, "u bigint, v bigint, n bigint")
+    return rows.groupBy("part").applyInArrow(lambda table: tidied(verify(table)), "u bigint, v bigint, n bigint")
 
 
 def join(df: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:

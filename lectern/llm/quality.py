@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import arrow, remainder, schema
+from ._common import arrow, remainder, schema, tidy
 from ._text import LOWER, buffers, chunks, shingles, words
 
 SAMPLE = 6000
@@ -96,7 +96,7 @@ def with_statistics(df: DataFrame, text: str = "text", keep: tuple[str, ...] = (
             got = np.concatenate(got) if got else np.zeros((0, len(NAMES)))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *(pa.array(c) for c in np.ascontiguousarray(got.T))], names)
 
-    return df.select(*[df[c] for c in keep], *([] if text in keep else [df[text]])).mapInArrow(run, schema(df, keep, ", ".join(f"s_{x} double" for x in NAMES)))
+    return df.select(*[df[c] for c in keep], *([] if text in keep else [df[text]])).mapInArrow(tidy(run), schema(df, keep, ", ".join(f"s_{x} double" for x in NAMES)))
 
 
 Rule = tuple[tuple[str, bool, float], ...]  # (statistic, above, bound), all of which must hold

@@ -23,13 +23,14 @@ import codecs
 import hashlib
 import re
 import struct
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ._common import arrow, schema
+from ._common import arrow, release, schema
 
 SPACE = "▁"
 # One replacement character for each byte that is no part of a character.
@@ -116,7 +117,8 @@ class Encoder:
         self.first, self.strip = True, self.prefix or self.squeeze
         inner = any(SPACE in p.piece.lstrip(SPACE) for p in proto.pieces if p.type in (kinds.NORMAL, kinds.USER_DEFINED))
         self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if not inner else r"[\s\S]+")
-        self.cache: dict[str, tuple[int, str, str, tuple[int, ...], bytes]] = {}
+        # Of each cut: number of ids, ids joined by commas, text, ids and sizes as 32-bit numbers.
+        self.cache: dict[str, tuple[int, str, str, bytes, bytes]] = {}
 
     # -- normalisation -----------------------------------------------------
 
@@ -184,13 +186,13 @@ class Encoder:
 
     # -- segmentation ------------------------------------------------------
 
-    def _entry(self, cut: str, ids: list[int]) -> tuple[int, str, str, tuple[int, ...], bytes]:
+    def _entry(self, cut: str, ids: list[int]) -> tuple[int, str, str, bytes, bytes]:
         if self.unknown.isdisjoint(ids):
             sizes = [1 if i in self.byte else len(self.pieces[i].encode()) for i in ids]
         else:
             # An unknown piece is as long as what it stands for.
             sizes = [len(p.surface.encode()) for p in self.segmenter.encode(cut, return_type="proto").pieces]
-        return len(ids), ",".join(map(str, ids)), self._surface(ids), tuple(ids), np.asarray(sizes, np.uint32).tobytes()
+        return len(ids), ",".join(map(str, ids)), self._surface(ids), array("i", ids).tobytes(), array("I", sizes).tobytes()
 
     def _surface(self, ids, start: bool = False) -> str:
         """Text of the ids; at the start of a text a space mark is dropped as encoding put it there."""
@@ -218,7 +220,7 @@ class Encoder:
             out.append(run.decode(errors="lectern-each"))
         return "".join(out)
 
-    def cuts(self, normalised: list[str]) -> list[list[tuple[int, str, str, tuple[int, ...], bytes]]]:
+    def cuts(self, normalised: list[str]) -> list[list[tuple[int, str, str, bytes, bytes]]]:
         """Segmented cuts of each normalised text; distinct cuts are segmented once."""
         parts = [self.cut.findall(x) for x in normalised]
         if len(self.cache) > CACHE_ENTRIES:
@@ -242,7 +244,16 @@ class Encoder:
         normalised, source = self.normalise(text or "")
         entries = self.cuts([normalised])[0]
         starts, ends = self._project(entries, source)
-        return list(zip([i for e in entries for i in e[3]], starts.tolist(), ends.tolist(), strict=True))
+        return list(zip(self._ids(entries).tolist(), starts.tolist(), ends.tolist(), strict=True))
+
+    def forget(self) -> None:
+        """Drop the cuts kept so far, as a worker keeps its encoder while other operators run."""
+        self.cache = {}
+        release()
+
+    @staticmethod
+    def _ids(entries) -> np.ndarray:
+        return np.frombuffer(b"".join([e[3] for e in entries]), np.int32)
 
     @staticmethod
     def _project(entries, source: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -267,8 +278,8 @@ class Encoder:
         for entries, (_, source) in zip(self.cuts([x for x, _ in found]), found, strict=True):
             starts, ends = self._project(entries, source)
             # Cuts end where characters do, so only the first one is decoded in its place.
-            decoded = "".join([self._surface(entries[0][3], start=True), *[e[2] for e in entries[1:]]]) if entries else ""
-            yield len(starts), ",".join([e[1] for e in entries]), decoded, starts, ends, entries
+            decoded = "".join([self._surface(self._ids(entries[:1]).tolist(), start=True), *[e[2] for e in entries[1:]]]) if entries else ""
+            yield len(starts), ",".join([e[1] for e in entries]), decoded, starts, ends, self._ids(entries)
 
 
 @lru_cache(maxsize=2)
@@ -288,6 +299,7 @@ def encode(df: DataFrame, path: str | None = None, text: str = "text", key: str
             found = [model.spans(x) for x in b.column(1).to_pylist()]
             cols = [pa.array([[p[j] for p in f] for f in found], pa.list_(t)) for j, t in enumerate((pa.int32(), pa.int64(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["key", "ids", "starts", "ends"])
+        model.forget()
 
     return df.select(df[key], df[text]).mapInArrow(run, f"key {kind}, ids array<int>, starts array<bigint>, ends array<bigint>").withColumnRenamed("key", key)
 
@@ -322,18 +334,19 @@ def digest(df: DataFrame, path: str | None = None, ids: bool = False, keep: tupl
             n, told, back, where, flat, ends = [], [], [], [], [], [0]
             texts = [x or "" for x in b.column(place).to_pylist()]
             for lo in range(0, len(texts), 64):
-                for count, joined, decoded, first, last, entries in model.digests(texts[lo : lo + 64]):
+                for count, joined, decoded, first, last, own in model.digests(texts[lo : lo + 64]):
                     n.append(count)
                     told.append(hashlib.sha256(joined.encode()).hexdigest())
                     back.append(hashlib.sha256(decoded.encode()).hexdigest())
                     where.append(hashlib.sha256(first.astype("<i8").tobytes() + last.astype("<i8").tobytes()).hexdigest())
                     if ids:
-                        flat += [np.asarray(e[3], np.int32) for e in entries]
+                        flat.append(own)
                         ends.append(ends[-1] + count)
             cols = [*b.columns[: len(lead)], pa.array(n, pa.int64()), *(pa.array(x, pa.string()) for x in (told, back, where))]
             if ids:
                 cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32))))
             yield pa.RecordBatch.from_arrays(cols, [*lead, *names, *(["ids"] if ids else [])])
+        model.forget()
 
     extra = ", ids array<int>" if ids else ""
     rows = df.select(*[df[c] for c in lead], *([] if "text" in lead else [df["text"]]))

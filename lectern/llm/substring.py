@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ._common import arrow, durable, nullable, partitions, schema
+from ._common import arrow, durable, nullable, partitions, schema, tidied, tidy
 from ._pack import gather, groups, pack, runs, unpack
 from ._text import buffers, chunks, mix, words
 
@@ -114,7 +114,7 @@ def ranges(df: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
         at = np.flatnonzero(total > 8 * total.mean() + 8 * window)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(total[at], total.sum()), pa.int64())], ["fine", "n"])
 
-    loads = durable(rows.mapInArrow(load, "fine bigint, n bigint").groupBy("fine").agg(F.sum("n").alias("n")), spark, few=True)
+    loads = durable(rows.mapInArrow(tidy(load), "fine bigint, n bigint").groupBy("fine").agg(F.sum("n").alias("n")), spark, few=True)
     whole = (loads.where("fine = -1").first() or {"n": 0})["n"]
     # At most `buckets` of them can each have more than a bucket's mean share.
     hot = np.array(sorted(r["fine"] for r in loads.where((F.col("fine") >= 0) & (F.col("n") > whole / buckets)).collect()), np.int64)
@@ -235,7 +235,7 @@ def ranges(df: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
             return _ranges(*(np.zeros(0, np.int64),) * 3, ids, known, keys)
         return _ranges(*(np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True)), ids, known, keys)
 
-    return rows.mapInArrow(send, "bucket int, blob binary").groupBy("bucket").applyInArrow(count, "doc_id bigint, h bigint, first int, last int")
+    return rows.mapInArrow(tidy(send), "bucket int, blob binary").groupBy("bucket").applyInArrow(lambda table: tidied(count(table)), "doc_id bigint, h bigint, first int, last int")
 
 
 def _merge(a: np.ndarray, b: np.ndarray):
@@ -317,7 +317,7 @@ def remove(df: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
                 new = [body[i:j].tobytes().decode() if r else None for r, i, j in zip(removed, x.tolist(), y.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([held[lo:hi], pa.array(new, pa.string()), pa.array(removed, pa.int64())], ["own", "new", "n_removed"])
 
-    out = joined.mapInArrow(run, schema(joined, ["own"], "new string, n_removed bigint"))
+    out = joined.mapInArrow(tidy(run), schema(joined, ["own"], "new string, n_removed bigint"))
     pick = {c: F.col("own")[c] for c in own} | {"text": F.when(F.col("n_removed") > 0, F.col("new")).otherwise(F.col("own")["text"])}
     return out.select(*[pick[c].alias(c) for c in own], "n_removed")
 

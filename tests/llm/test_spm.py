@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 import sentencepiece as sp
 from sentencepiece import sentencepiece_model_pb2 as pb
@@ -83,3 +84,26 @@ def test_awkward_rows(spark):
     assert spm.digest(df.limit(0), ids=True).count() == 0 and spm.encode(df.limit(0)).count() == 0
     back = spm.decode(spm.encode(df)).collect()
     assert sorted(((r.doc_id, r.text) for r in back), key=repr) == sorted(((i, t or "") for i, t, _ in rows), key=repr)
+
+
+def test_a_worker_keeps_no_cuts_and_no_array_for_each_cut(spark, monkeypatch):
+    import tracemalloc
+
+    held = []
+    docs = spark.createDataFrame([(1, "")], "doc_id bigint, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: held.append(run))
+    spm.digest(docs, ids=True)
+    words = [f"w{i}" for i in range(2000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(200), "text": [" ".join(words)] * 200})
+    model = spm.encoder(spm.default_model())
+    want = model.encode(" ".join(words))
+    assert model.cache
+    tracemalloc.start()
+    try:
+        (out,) = held[0](iter([batch]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert not model.cache
+    assert out.column(out.schema.get_field_index("ids")).to_pylist() == [want] * 200
+    assert peak < 32 << 20
