@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from lectern import plugins, registry
 from lectern.functions import answers
-from lectern.operators import measure, provenance, readings, repair, route, signals, split
+from lectern.functions.fields import compare
+from lectern.operators import measure, provenance, readings, repair, route, scoring, signals, split
+from lectern.registry import Field
 from lectern.sources import records
 from lectern.streaming import ingest
 
@@ -261,3 +263,35 @@ def test_ocr_cascade_of_all_documents_reaches_the_ranking(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.engine for r in QUERIES["ocr_cascade"](spark, str(tmp_path)).collect()}
     assert got == {1: "first", 3: "second", 3000: "first", 6: "second", 7: "first", 9: "first", 12: "second", 13: "first", 15: "second", 16: "first"}
+
+
+def test_row_matching_equals_pairs_compared_one_by_one(spark):
+    kinds = ("identifier", "enum", "ssn", "email", "date", "money", "number", "bool", "name", "text")
+    words = [
+        None, "", " \t", "\u00a0", "A-1", "a1", "a 1", "--", "$1,000.00", "1000", "1000.005", "(5)", "-5", " 7 ", "7.", "007", "1e5", "-", "2024-01-02", "01/02/2024", "Jan 2, 2024", "yes", "X", "no",
+        "Acme Inc", "acme  llc", "Acme Corporatoin", "paper, white", "paper white a4", "papers white", "a@B.c", "A@b.C ", "123-45-6789", "123456789", "NaN", "(x", "12\n",
+    ]
+    pick = random.Random(3)
+    row = lambda: tuple(pick.choice(words) for _ in kinds)
+    some = [(f"d{i % 28}", [row() for _ in range(pick.randrange(7))] if i % 9 else None) for i in range(30)] + [(None, [row()])]
+    near = [(k, [tuple(v if pick.random() < 0.7 else pick.choice(words) for v in r) for r in reversed(rows or ())]) for k, rows in some]
+    schema = "file string, g array<struct<" + ",".join(f"{k}:string" for k in kinds) + ">>"
+    t, p = spark.createDataFrame(some, schema), spark.createDataFrame(near, schema)
+    fields = tuple(Field(k, k, key=k == "identifier", tolerance=0.5 if k == "number" else None) for k in kinds)
+    pairs = t.selectExpr("file", "posexplode(g) as (t, x)").join(p.selectExpr("file", "posexplode(g) as (p, y)"), "file")
+    score = sum((F.when(compare(f.kind, F.col(f"y.{f.name}"), F.col(f"x.{f.name}"), f.tolerance)["match"], 3.0 if f.key else 1.0).otherwise(0.0) for f in fields), F.lit(0.0)) / 12.0
+    want, used = [], set()
+    for r in sorted(pairs.select("file", "t", "p", score.alias("s")).where("s >= 0.34").collect(), key=lambda r: (r.file, -r.s, r.t, r.p)):
+        if not {(r.file, "t", r.t), (r.file, "p", r.p)} & used:
+            used |= {(r.file, "t", r.t), (r.file, "p", r.p)}
+            want.append(tuple(r))
+    got = sorted(map(tuple, scoring.match_rows(t, p, fields, group="g").collect()), key=lambda r: (r[0], -r[3], r[1], r[2]))
+    assert len(want) > 30 and got == want
+
+
+def test_row_matching_reads_each_row_once_and_joins_none(spark, sf_dir):
+    from lectern.plans import queries
+
+    for name in ("row_match_greedy", "group_scores"):
+        plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Generate posexplode" not in plan
