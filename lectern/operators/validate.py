@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.fields import is_blank, number, plain_date
 from ..registry import TYPES
@@ -47,67 +48,88 @@ def _money(x: Column) -> Column:
     return F.format_string("%.2f", x)
 
 
-def _line_checks(rows: Column, code: str, prefix: Column) -> Column:
-    def one(row, i):
-        q, u, a = number(row["quantity"]), number(row["unit_price"]), number(row["amount"])
-        want = F.round(q * u, 2)
-        field = F.concat(prefix, F.lit("line_items["), i.cast("string"), F.lit("].amount"))
+def _let(value: Column, body) -> Column:
+    """body(value), with the value made once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _fields(kind) -> dict:
+    """The types of the fields of an array of structs, by name."""
+    kind = kind.elementType if isinstance(kind, T.ArrayType) else kind
+    return {f.name: f.dataType for f in kind.fields} if isinstance(kind, T.StructType) else {}
+
+
+def _read_lines(rows: Column, kinds: dict) -> Column:
+    """Lines by their place: the amount, and what it should be."""
+    n = lambda row, name: number(row[name], kinds.get(name))
+    return F.transform(rows, lambda row, i: F.struct(i.alias("at"), n(row, "amount").alias("a"), F.round(n(row, "quantity") * n(row, "unit_price"), 2).alias("want")))
+
+
+def _wrong(r: Column) -> Column:
+    return F.abs(r["want"] - r["a"]) > TOLERANCE
+
+
+def _line_checks(lines: Column, code: str, prefix: Column) -> Column:
+    """lines: as _read_lines gives them; texts are made only for those at fault."""
+    def one(r):
+        field = F.concat(prefix, F.lit("line_items["), r["at"].cast("string"), F.lit("].amount"))
         return _kept(
-            _finding(a < 0, "negative_line_amount", field, "arithmetic", actual=_money(a)),
-            _finding(F.abs(want - a) > TOLERANCE, code, field, "arithmetic", _money(want), _money(a)),
+            _finding(r["a"] < 0, "negative_line_amount", field, "arithmetic", actual=_money(r["a"])),
+            _finding(_wrong(r), code, field, "arithmetic", _money(r["want"]), _money(r["a"])),
         )
 
-    return F.flatten(F.transform(rows, one))
+    return F.flatten(F.transform(F.filter(lines, lambda r: (r["a"] < 0) | _wrong(r)), one))
 
 
-def _total_checks(record, rows: Column, bad: Column, codes: tuple[str, str], prefix: Column) -> Column:
+def _total_checks(read, lines: Column, codes: tuple[str, str], prefix: Column) -> Column:
     """A consequence is reported only where its cause is not: wrong rows hide the totals, a wrong subtotal hides the total."""
-    sub, tax, total = (number(record(x)) for x in ("subtotal", "tax", "total"))
-    amounts = F.transform(rows, lambda r: number(r["amount"]))
-    usable = (F.size(rows) > 0) & ~bad & ~F.exists(amounts, lambda a: a.isNull())
-    summed = F.round(F.aggregate(amounts, F.lit(0.0), lambda x, y: x + y), 2)
-    sub_bad = F.coalesce(usable & (F.abs(summed - sub) > TOLERANCE), F.lit(False))
-    want = F.round(sub + tax, 2)
-    return _kept(
-        _finding(sub_bad, codes[0], F.concat(prefix, F.lit("subtotal")), "arithmetic", _money(summed), _money(sub)),
-        _finding(~bad & ~sub_bad & (F.abs(want - total) > TOLERANCE), codes[1], F.concat(prefix, F.lit("total")), "arithmetic", _money(want), _money(total)),
-    )
+    sub = read("subtotal")
+    bad = F.coalesce(F.exists(lines, lambda r: F.coalesce(_wrong(r), F.lit(False))), F.lit(False))
+    # Null if an amount is, or if there are no lines.
+    summed = F.when(F.size(lines) > 0, F.round(F.aggregate(lines, F.lit(0.0), lambda x, r: x + r["a"]), 2))
+    known = F.struct(bad.alias("bad"), summed.alias("summed"), sub.alias("sub"), F.round(sub + read("tax"), 2).alias("want"), read("total").alias("total"))
+
+    def found(k):
+        sub_bad = F.coalesce(~k["bad"] & (F.abs(k["summed"] - k["sub"]) > TOLERANCE), F.lit(False))
+        return _kept(
+            _finding(sub_bad, codes[0], F.concat(prefix, F.lit("subtotal")), "arithmetic", _money(k["summed"]), _money(k["sub"])),
+            _finding(~k["bad"] & ~sub_bad & (F.abs(k["want"] - k["total"]) > TOLERANCE), codes[1], F.concat(prefix, F.lit("total")), "arithmetic", _money(k["want"]), _money(k["total"])),
+        )
+
+    return _let(known, found)
 
 
-def _has(found: Column, code: str) -> Column:
-    return F.exists(found, lambda f: f["code"] == code)
+def _sums(read, rows: Column, kinds: dict, codes: tuple[str, str, str], prefix: Column) -> Column:
+    return _let(_read_lines(rows, kinds), lambda lines: _join(_line_checks(lines, codes[0], prefix), _total_checks(read, lines, codes[1:], prefix)))
 
 
-def arithmetic(columns: dict[str, Column]) -> Column:
-    none = F.lit("")
+def arithmetic(columns: dict[str, Column], kinds: dict | None = None) -> Column:
+    """kinds: the columns' types, as far as known; what is a number already is not read from its text."""
+    none, kinds = F.lit(""), kinds or {}
     out = []
-    record = lambda name: columns.get(name, F.lit(None))
+    read = lambda name: number(columns.get(name, F.lit(None)), kinds.get(name))
     if "line_items" in columns:
-        rows = columns["line_items"]
-        lines = F.coalesce(_line_checks(rows, "line_item_math_error", none), F.array().cast(FINDING))
-        out += [lines, _total_checks(record, rows, _has(lines, "line_item_math_error"), ("subtotal_mismatch", "total_mismatch"), none)]
+        out.append(_sums(read, columns["line_items"], _fields(kinds.get("line_items")), ("line_item_math_error", "subtotal_mismatch", "total_mismatch"), none))
     if "sections" in columns:
-        sections = columns["sections"]
+        sections, of = columns["sections"], _fields(kinds.get("sections"))
 
         def one(s, i):
             prefix = F.concat(F.lit("sections["), i.cast("string"), F.lit("]."))
-            rows = s["line_items"]
-            lines = F.coalesce(_line_checks(rows, "section_line_item_math_error", prefix), F.array().cast(FINDING))
-            totals = _total_checks(lambda x: s[x], rows, _has(lines, "section_line_item_math_error"), ("section_total_mismatch",) * 2, prefix)
-            account = F.trim(s["account_number"])
+            sums = _sums(lambda x: number(s[x], of.get(x)), s["line_items"], _fields(of.get("line_items")), ("section_line_item_math_error", *("section_total_mismatch",) * 2), prefix)
+            account, total = F.trim(s["account_number"]), number(s["total"], of.get("total"))
             before = F.exists(F.slice(sections, F.lit(1), i), lambda x: F.trim(x["account_number"]) == account)
-            return _join(lines, totals, _kept(
-                _finding(number(s["total"]) < 0, "negative_section_total", F.concat(prefix, F.lit("total")), "arithmetic", actual=_money(number(s["total"]))),
+            return _join(sums, _kept(
+                _finding(total < 0, "negative_section_total", F.concat(prefix, F.lit("total")), "arithmetic", actual=_money(total)),
                 _finding((account != "") & before, "duplicate_section_account", F.concat(prefix, F.lit("account_number")), "arithmetic", actual=account),
             ))
 
-        totals = F.transform(sections, lambda s: number(s["total"]))
+        totals = F.transform(sections, lambda s: number(s["total"], of.get("total")))
         summed = F.round(F.aggregate(totals, F.lit(0.0), lambda x, y: x + y), 2)
-        declared = number(record("section_count")).cast("int")
-        whole = (F.size(sections) > 0) & ~F.exists(totals, lambda t: t.isNull()) & number(record("subtotal")).isNotNull()
+        declared = read("section_count").cast("int")
+        whole = (F.size(sections) > 0) & ~F.exists(totals, lambda t: t.isNull()) & read("subtotal").isNotNull()
         out += [F.flatten(F.transform(sections, one)), _kept(
             _finding(declared != F.size(sections), "section_count_mismatch", "section_count", "arithmetic", F.size(sections), declared),
-            _finding(whole & (F.abs(summed - number(record("total"))) > TOLERANCE), "invoice_total_not_sum_of_sections", "total", "arithmetic", _money(summed), _money(number(record("total")))),
+            _finding(whole & (F.abs(summed - read("total")) > TOLERANCE), "invoice_total_not_sum_of_sections", "total", "arithmetic", _money(summed), _money(read("total"))),
         )]
     return _join(*out)
 
@@ -194,7 +216,7 @@ VALIDATORS = {"arithmetic": None, "format": ("form",), "range": ("form",), "requ
 def check(df: DataFrame, doc_type: str, variant: str = "", enabled: tuple[str, ...] = tuple(VALIDATORS)) -> DataFrame:
     """df with `findings`, the validators in name order."""
     c = {x: F.col(f"`{x}`") for x in df.columns}
-    made = {"arithmetic": lambda: arithmetic(c), "format": lambda: formats(c), "range": lambda: ranges(c), "required": lambda: required(c, doc_type, variant), "temporal": lambda: temporal(c)}
+    made = {"arithmetic": lambda: arithmetic(c, {f.name: f.dataType for f in df.schema}), "format": lambda: formats(c), "range": lambda: ranges(c), "required": lambda: required(c, doc_type, variant), "temporal": lambda: temporal(c)}
     unknown = set(enabled) - set(made)
     if unknown:
         raise ValueError(f"unknown validators: {sorted(unknown)}")

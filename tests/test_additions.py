@@ -295,3 +295,24 @@ def test_row_matching_reads_each_row_once_and_joins_none(spark, sf_dir):
     for name in ("row_match_greedy", "group_scores"):
         plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         assert "Join" not in plan and "Generate posexplode" not in plan
+
+
+def test_numbers_are_read_as_their_text_is(spark):
+    from lectern.functions.fields import number
+
+    df = spark.sql("select explode(array(1.5d, -0.0d, 1e-7d, 123456789012.345d, double('NaN'), double('Infinity'), null)) d").withColumn("l", F.lit(2**53 + 1))
+    got = df.select(*(number(F.col(c), kind).cast("string").alias(f"{c}{i}") for c in ("d", "l") for i, kind in enumerate((None, df.schema[c].dataType))))
+    assert got.where("not (d0 <=> d1) or not (l0 <=> l1)").count() == 0
+
+
+def test_numeric_bills_are_checked_without_texts_and_lines_read_once(spark, sf_dir):
+    from lectern.operators import validate
+    from lectern.plans import queries
+
+    bills = queries.bills(spark, sf_dir)
+    plan = validate.check(bills, "invoice", enabled=("arithmetic",))._jdf.queryExecution().analyzed().toString()
+    assert "[,$]" not in plan and plan.count("unit_price") < 8
+    # The same findings from texts as from numbers.
+    texts = bills.withColumn("line_items", F.transform("line_items", lambda r: F.struct(*(r[c].cast("string").alias(c) for c in ("quantity", "unit_price", "amount"))))).withColumns({c: F.col(c).cast("string") for c in ("subtotal", "tax", "total")})
+    rows = [sorted(map(tuple, validate.findings(validate.check(b, "invoice"), "k").collect())) for b in (bills, texts)]
+    assert rows[0] == rows[1] and len(rows[0]) > 100
