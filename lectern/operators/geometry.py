@@ -39,24 +39,79 @@ def nearest(queries: DataFrame, against: DataFrame, key: str, vector: str, label
     return both.groupBy("q", "ql").agg(F.max("b").alias("b")).select(F.col("q").alias(key), F.col("ql").alias("label"), (-F.col("b.k")).alias("nearest"), F.col("b.l").alias("nearest_label"))
 
 
-def nearest_of_all(rows: DataFrame, key: str, vector: str, label: str, block: int = 1024) -> DataFrame:
-    """As nearest(), but against all rows: every pair of blocks of about `block` rows is compared, so time grows with the square of the rows."""
-    ship(rows.sparkSession)
-    blocks = max(1, -(-rows.count() // block))
+def _blocked(rows: DataFrame, key: str, vector: str, label: str, block: int) -> DataFrame:
+    """Pairs of blocks of rows, x and y, some eight at most to a task; more blocks than the size asks for where tasks would be idle."""
+    n, cores = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-n // block), min(-(-n // 256), cores, 32))
     one = lambda side: rows.groupBy(F.pmod(F.xxhash64(key), F.lit(blocks)).alias(f"{side}b")).agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), F.col(label).alias("l"))).alias(side)).select(side)
+    return one("x").repartition(blocks).crossJoin(one("y").repartition(max(-(-blocks // 8), min(blocks, cores))))
+
+
+def nearest_of_all(rows: DataFrame, key: str, vector: str, label: str, block: int = 4096, tile: int = 512) -> DataFrame:
+    """As nearest(), but against all rows: every pair of blocks of about `block` rows is compared, so time grows with the square of the rows.
 
+    A pair of blocks is scored in single precision, `tile` queries at a time; what comes close to a query's best is scored again
+    in double precision and rounded, so the result is that of double precision for all pairs.
+    """
+    ship(rows.sparkSession)
     def table(found):
         """Unit vectors by row, with their length, 0 where there is no direction."""
         import numpy as np
 
-        vectors = [x if x and None not in x else [] for x in found.field("v").to_pylist()]
-        size = np.asarray([len(x) for x in vectors])
-        out = np.zeros((len(vectors), max(1, size.max())))
-        for i, x in enumerate(vectors):
-            out[i, : len(x)] = x
-        norm = np.sqrt((out * out).sum(axis=1))
-        size[~(norm > 0)] = 0
-        return out / np.where(norm > 0, norm, 1)[:, None], size
+        lists = found.field("v")
+        size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = lists.flatten()
+        row = np.repeat(np.arange(len(size)), size)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        out = np.zeros((len(size), max(1, size.max(initial=0))))
+        out[row, at] = flat.fill_null(0).to_numpy(zero_copy_only=False)
+        size[row[flat.is_null().to_numpy(zero_copy_only=False)]] = 0
+        with np.errstate(over="ignore", invalid="ignore"):
+            norm = np.sqrt((out * out).sum(axis=1))
+        size[~((norm > 0) & (norm < np.inf))] = 0
+        out[size == 0] = 0
+        return out / np.where(size > 0, norm, 1)[:, None], size
+
+    def best_of(q, a):
+        """For each row of q: the score of the best row of a by rounded score, then least key; a in the order of its keys."""
+        import numpy as np
+
+        (qv, qn), (av, an) = table(q), table(a)
+        qk, ak = (x.field("k").to_numpy(zero_copy_only=False) for x in (q, a))
+        width = max(qv.shape[1], av.shape[1])
+        # Two more coordinates: vectors of other lengths, or without direction, score low.
+        qv, av = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (qv, av))
+        q32, a32 = qv.astype(np.float32), av.astype(np.float32)
+        plain = len(np.unique(np.concatenate([qn, an]))) == 1 and qn.min(initial=0) > 0
+        # Twice the error of a product in single precision, and a unit of the rounded score.
+        close = np.float32(1e-6 + 2 * (width + 4) * 2.0**-24)
+        own = np.searchsorted(ak, qk)
+        own_end = np.searchsorted(ak, qk, side="right")
+        at, score = np.zeros(len(qk), dtype=np.int64), np.full(len(qk), -3.0)
+        for i in range(0, len(qk), tile):
+            j = min(i + tile, len(qk))
+            s = q32[i:j] @ a32.T
+            if not plain:
+                s[(qn[i:j, None] != an) | (qn[i:j, None] == 0)] = -2.0
+            for r in np.flatnonzero(own_end[i:j] > own[i:j]):
+                s[r, own[i + r] : own_end[i + r]] = -3.0
+            near = s >= (s.max(axis=1) - close)[:, None]
+            # Where many are near, the whole row is scored again.
+            many = np.count_nonzero(near, axis=1) > 64
+            if many.any():
+                row = np.flatnonzero(many)
+                full = np.round(qv[i + row] @ av.T, 6)
+                full = np.where(s[row] < -1.5, s[row], full)
+                at[i + row], score[i + row] = full.argmax(axis=1), full.max(axis=1)
+                near[row] = False
+            r, c = np.nonzero(near)
+            low = s[r, c]
+            exact = np.where(low < -1.5, low, np.round((qv[i + r] * av[c]).sum(axis=1), 6))
+            # By row, then best first, then by place, that is by key.
+            order = np.lexsort((c, -exact, r))
+            first = order[np.unique(r[order], return_index=True)[1]]
+            at[i + r[first]], score[i + r[first]] = c[first], exact[first]
+        return at, score
 
     def run(batches):
         import numpy as np
@@ -67,19 +122,13 @@ def nearest_of_all(rows: DataFrame, key: str, vector: str, label: str, block: in
                 q, a = (c.slice(i, 1).flatten() for c in batch.columns)
                 # The least key first among equals.
                 a = a.take(pa.array(np.argsort(a.field("k").to_numpy(zero_copy_only=False), kind="stable")))
-                (qv, qn), (av, an) = table(q), table(a)
-                width = max(qv.shape[1], av.shape[1])
-                qv, av = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (qv, av))
-                score = np.round(qv @ av.T, 6)
-                score[(qn[:, None] != an) | (qn[:, None] == 0)] = -2.0
-                score[q.field("k").to_numpy(zero_copy_only=False)[:, None] == a.field("k").to_numpy(zero_copy_only=False)] = -3.0
-                best = score.argmax(axis=1)
-                kept = np.flatnonzero(score.max(axis=1) > -3.0)
+                best, score = best_of(q, a)
+                kept = np.flatnonzero(score > -3.0)
                 at = pa.array(best[kept])
                 q = q.take(pa.array(kept))
-                yield pa.RecordBatch.from_arrays([q.field("k"), q.field("l"), pa.array(score[kept, best[kept]]), a.field("k").take(at), a.field("l").take(at)], ["q", "ql", "s", "k", "l"])
+                yield pa.RecordBatch.from_arrays([q.field("k"), q.field("l"), pa.array(score[kept]), a.field("k").take(at), a.field("l").take(at)], ["q", "ql", "s", "k", "l"])
 
     k, lab = (rows.schema[x].dataType.simpleString() for x in (key, label))
-    found = one("x").crossJoin(one("y")).mapInArrow(run, f"q {k}, ql {lab}, s double, k {k}, l {lab}")
+    found = _blocked(rows, key, vector, label, block).mapInArrow(run, f"q {k}, ql {lab}, s double, k {k}, l {lab}")
     best = found.groupBy("q", "ql").agg(F.max(F.struct("s", (-F.col("k")).alias("k"), "l")).alias("b"))
     return best.select(F.col("q").alias(key), F.col("ql").alias("label"), (-F.col("b.k")).alias("nearest"), F.col("b.l").alias("nearest_label"))

@@ -316,3 +316,24 @@ def test_numeric_bills_are_checked_without_texts_and_lines_read_once(spark, sf_d
     texts = bills.withColumn("line_items", F.transform("line_items", lambda r: F.struct(*(r[c].cast("string").alias(c) for c in ("quantity", "unit_price", "amount"))))).withColumns({c: F.col(c).cast("string") for c in ("subtotal", "tax", "total")})
     rows = [sorted(map(tuple, validate.findings(validate.check(b, "invoice"), "k").collect())) for b in (bills, texts)]
     assert rows[0] == rows[1] and len(rows[0]) > 100
+
+
+def test_nearest_of_all_rows_ties_and_many_near(spark):
+    """Scores that single precision can't tell apart, hundreds of equal vectors, and as many tasks as a small table allows."""
+    import numpy as np
+
+    from lectern.operators import geometry
+
+    pick = np.random.default_rng(5)
+    base = pick.normal(size=(40, 64))
+    v = np.concatenate([base[i % 40] + pick.normal(size=64) * 10.0 ** -(2 + i % 6) for i in range(400)] + [base[0]] * 150).reshape(-1, 64)
+    rows = [(int(k), x.tolist(), int(k) % 7) for k, x in zip(pick.permutation(len(v)), v, strict=True)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(map(tuple, geometry.nearest_of_all(df, "vec_id", "embedding", "label").collect()))
+    v = np.asarray([r[1] for r in sorted(rows)])
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    score = np.round(v @ v.T, 6)
+    np.fill_diagonal(score, -2)
+    assert got == [(k, k % 7, int(j), int(j) % 7) for k, j in enumerate(score.argmax(axis=1))]
+    assert sorted(map(tuple, geometry.nearest_of_all(df, "vec_id", "embedding", "label", 64, 16).collect())) == got
+    assert len({r.b for r in geometry._blocked(df, "vec_id", "embedding", "label", 4096).select(F.spark_partition_id().alias("b")).collect()}) > 1
