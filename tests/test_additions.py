@@ -337,3 +337,13 @@ def test_nearest_of_all_rows_ties_and_many_near(spark):
     assert got == [(k, k % 7, int(j), int(j) % 7) for k, j in enumerate(score.argmax(axis=1))]
     assert sorted(map(tuple, geometry.nearest_of_all(df, "vec_id", "embedding", "label", 64, 16).collect())) == got
     assert len({r.b for r in geometry._blocked(df, "vec_id", "embedding", "label", 4096).select(F.spark_partition_id().alias("b")).collect()}) > 1
+
+
+def test_kinds_are_counted_before_they_are_rows(spark, sf_dir, tmp_path):
+    from lectern.plans import queries
+
+    plan = queries.compare_kinds(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Aggregate")
+    # As the SQL: a row for each kind where there are no orders.
+    spark.read.parquet(f"{sf_dir}/orders.parquet").limit(0).write.parquet(f"{tmp_path}/orders.parquet")
+    assert sorted(map(tuple, queries.compare_kinds(spark, str(tmp_path)).collect())) == [(k, 0, 0, 0) for k in ("date", "identifier", "money")]
